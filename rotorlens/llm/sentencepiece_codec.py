@@ -117,7 +117,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
         for b in batches:
-            texts = [model.decode(ids or []) for ids in b.column("__rl_ids").to_pylist()]
+            column = b.column("__rl_ids")  # one document's ids become Python objects at a time
+            values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+            texts = [model.decode(values[i:j].tolist()) for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in others], pa.array(texts, pa.string())], [*others, name])
 
     chosen = encoded.select(*others, F.col(ids_col).alias("__rl_ids"))
