@@ -36,6 +36,8 @@ from . import common
 
 LABELLED, POOL = 6000, 6000
 L2, SURE = 1e-4, 3.0
+#: Rows in which a hashed word or value must occur to get a weight.
+MIN_ROWS = 10
 SHAPE, WORDS, META = 13, 1 << 16, 1 << 8
 BARE = re.compile(r"[^a-zà-ÿ]+")
 
@@ -99,6 +101,9 @@ class Linear:
         self.mean, self.scale = rows.dense.mean(0), np.maximum(rows.dense.std(0), 1e-6)
         x = (rows.dense - self.mean) / self.scale
         row, place = rows.flat()
+        # A place that few rows share would be learnt by heart; it keeps the weight 0.
+        common = np.bincount(place, minlength=rows.width)[place] >= MIN_ROWS
+        row, place = row[common], place[common]
         n = len(y)
         self.bias, self.w, self.v = 0.0, np.zeros(x.shape[1]), np.zeros(rows.width)
         seen = [1e-8, np.full(x.shape[1], 1e-8), np.full(rows.width, 1e-8)]
