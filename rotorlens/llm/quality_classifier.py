@@ -1,8 +1,11 @@
 """Quality classifier by co-training two views of a document.
 
-The text view sees what a text is made of: hashed words and shares of letters, capitals, digits, marks,
-repeated words and lines. The metadata view sees what comes with it: source, language, length and shape as
-the table states them. Each is a logistic regression. They start from labelled documents; over some rounds,
+The text view sees what a text is made of: the strongest evidence that any of its hashed words gives, and
+shares of letters, capitals, digits, marks, repeated words and lines. The metadata view sees what comes with it: source, language, length and shape as
+the table states them. Each is a logistic regression. A word's evidence is the log of how much more often
+bad documents have it than good ones; a document is counted out of the evidence it is learnt with, and the
+regression gets the strongest word and the three strongest, so that a few telling words count in a long
+text as in a short one. They start from labelled documents; over some rounds,
 each marks those unlabelled documents it is surest of, and the other learns from the marks. At the end each
 view is calibrated on labelled documents it has not learnt from, and the two log odds are added, weighted
 by how well each does there. All documents are scored, whole.
@@ -38,7 +41,9 @@ LABELLED, POOL = 6000, 6000
 L2, SURE = 1e-4, 3.0
 #: Rows in which a hashed word or value must occur to get a weight.
 MIN_ROWS = 10
-SHAPE, WORDS, META = 13, 1 << 16, 1 << 8
+#: Rows in which a word must occur, besides the row in question, to be evidence.
+LEAST_ROWS = 5
+SHAPE, WORDS, META = 13, 1 << 18, 1 << 8
 BARE = re.compile(r"[^a-zà-ÿ]+")
 
 
@@ -122,6 +127,35 @@ class Linear:
         return self.bias + (rows.dense - self.mean) / self.scale @ self.w + np.bincount(row, self.v[place], len(rows.places))
 
 
+class TextView:
+    """A Linear over a text's shape and the evidence of its words."""
+
+    def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray, l2: float):
+        row, place = rows.flat()
+        self.bad = np.bincount(place, y[row] < 0.5, rows.width).astype(np.float32)
+        self.good = np.bincount(place, y[row] > 0.5, rows.width).astype(np.float32)
+        self.n_bad, self.n_good = float((y < 0.5).sum()), float((y > 0.5).sum())
+        self.linear = Linear(self._joined(rows, y), y, weight, l2)
+
+    def _joined(self, rows: Rows, y: np.ndarray | None = None) -> Rows:
+        """y: the kinds of rows that were learnt from; each is counted out of its own evidence."""
+        strongest = np.zeros((len(rows.places), 2))
+        for i, p in enumerate(rows.places):
+            if not len(p):
+                continue
+            own = 0.0 if y is None else float(y[i] > 0.5)
+            bad, good = self.bad[p] - (0 if y is None else 1 - own), self.good[p] - own
+            odds = np.log((bad + 0.5) / (self.n_bad + 1)) - np.log((good + 0.5) / (self.n_good + 1))
+            odds[bad + good < LEAST_ROWS] = 0
+            top = np.partition(odds, len(odds) - 3)[-3:] if len(odds) > 3 else odds
+            strongest[i] = top.max(), top.sum()
+        # The words themselves are left out: a weight for each would learn the labelled texts by heart.
+        return Rows(np.hstack([rows.dense, strongest]), [np.zeros(0, np.int64)] * len(rows.places), 1)
+
+    def logits(self, rows: Rows) -> np.ndarray:
+        return self.linear.logits(self._joined(rows))
+
+
 def _text_rows(texts: list) -> Rows:
     seen = [text_view(t) for t in texts]
     return Rows([x[0] for x in seen], [x[1] for x in seen], WORDS)
@@ -132,9 +166,9 @@ def _meta_rows(rows: list) -> Rows:
 
 
 class Model:
-    """Both views, their calibration and the threshold; under a hundred thousand numbers."""
+    """Both views, their calibration and the threshold; under a million numbers, whatever the input."""
 
-    def __init__(self, text: Linear | None, meta: Linear | None, calibration: Linear | None, threshold: float):
+    def __init__(self, text: TextView | None, meta: Linear | None, calibration: Linear | None, threshold: float):
         self.text, self.meta, self.calibration, self.threshold = text, meta, calibration, threshold
 
     def probability(self, texts: list, metas: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +200,8 @@ def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, rounds: int = 3, per_ro
     marked = [_text_rows(labelled["text"].tolist()), _meta_rows(metas(labelled))]
     unmarked = [_text_rows(pool["text"].tolist()), _meta_rows(metas(pool))]
     learnt = [(m.take(learns), y[learns]) for m in marked]
-    views = [Linear(x, t, _weights(t), L2) for x, t in learnt]
+    kinds = (TextView, Linear)
+    views = [kind(x, t, _weights(t), L2) for kind, (x, t) in zip(kinds, learnt)]
     free = np.ones(len(pool), bool)
     for _ in range(rounds):
         sure = []
@@ -180,7 +215,7 @@ def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, rounds: int = 3, per_ro
             if len(top):
                 learnt[own] = (learnt[own][0] + unmarked[own].take(top), np.concatenate([learnt[own][1], said]))
                 free[top] = False
-        views = [Linear(x, t, _weights(t), L2) for x, t in learnt]
+        views = [kind(x, t, _weights(t), L2) for kind, (x, t) in zip(kinds, learnt)]
     both = _two(*[v.logits(m.take(checks)) for v, m in zip(views, marked)])
     calibration = Linear(both, y[checks], np.ones(len(checks)), 1e-5, 600)
     good = 1 / (1 + np.exp(-np.clip(calibration.logits(both), -30, 30)))[y[checks] > 0.5]
