@@ -23,8 +23,8 @@ import numpy as np
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words in each of the two generations of the cache that a process keeps.
-CACHE = 400_000
+#: Words in each of the two generations of the cache that a process keeps; twice as many pairs and word starts.
+CACHE = 300_000
 
 
 class Model:
@@ -60,8 +60,8 @@ class Model:
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.ends: dict[str, str] = {"": ""}
-        #: Pieces that are their own encoding; others never stand in a path.
-        self.good = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
+        #: Pieces that are their own encoding; others never stand in a path. Each maps to the one copy that the caches hold.
+        self.good = {p: p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
 
     def _word_pattern(self) -> str:
         """Words end before a space, and also between a Latin letter and an ASCII mark, either way round, for
@@ -92,7 +92,7 @@ class Model:
         """Whether two pieces may be neighbours; the lattice's weight of 0, else minus infinity."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -104,13 +104,14 @@ class Model:
         Each prefix has one path only, so the maximum over arcs is over at most one that is not minus
         infinity, and a list of last pieces is the whole forward pass.
         """
-        good, longest, known, fits = self.good, self.longest, self.pairs.get, self.fits
+        good, longest, known, fits = self.good.get, self.longest, self.pairs.get, self.fits
         last = [before]
         for end in range(1, len(text) + 1):
             found = None
             for start in range(end - longest if end > longest else 0, end):
                 piece = text[start:end]
-                if piece in good or start == end - 1:
+                piece = good(piece, piece if start == end - 1 else None)
+                if piece is not None:
                     left = last[start]
                     if left is not None and (not left or (fits(left, piece) if (fit := known((left, piece))) is None else fit)):
                         found = piece
@@ -137,7 +138,7 @@ class Model:
 
     def word_path(self, word: str) -> list[str]:
         """path() of a word; the forward pass is shared among all words with a common start."""
-        ends, good, reach, known = self.ends, self.good, self.reach.get, self.pairs.get
+        ends, good, reach, known = self.ends, self.good.get, self.reach.get, self.pairs.get
         if len(word) > 64:
             return self.path(word)
         if len(ends) > 2 * CACHE:
@@ -150,7 +151,8 @@ class Model:
             furthest = reach(word[end - 2 : end] if end > 1 else word[:1], 1)
             for start in range(end - furthest if end > furthest else 0, end):
                 piece = word[start:end]
-                if piece in good or start == end - 1:
+                piece = good(piece, piece if start == end - 1 else None)
+                if piece is not None:
                     left = ends[word[:start]]
                     if left is not None and (not left or (self.fits(left, piece) if (fit := known((left, piece))) is None else fit)):
                         ends[word[:end]] = piece
