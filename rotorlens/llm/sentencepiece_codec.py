@@ -43,16 +43,22 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_bytes())  # a vocabulary: a few MB at most
 
 
-def _encode_batches(data):
+def _encode_batches(data, check: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
         for b in batches:
-            ids = [model.encode(t) if t else np.zeros(0, np.int32) for t in b.column("__rl_text").to_pylist()]
+            ids, same = [], []
+            for value in b.column("__rl_text"):  # one text becomes a Python object at a time
+                text = value.as_py()
+                ids.append(model.encode(text) if text else np.zeros(0, np.int32))
+                if check:
+                    same.append(model.decode(ids[-1].tolist()) == text.replace(SPACE, " "))
             offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
             kept = [n for n in b.schema.names if n != "__rl_text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], array], [*kept, "token_ids"])
+            checked = [pa.array(same, pa.bool_())] if check else []
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], array, *checked], [*kept, "token_ids", *([check] if check else [])])
 
     return run
 
@@ -95,18 +101,31 @@ def _giant_ids(giants: DataFrame, data, chunk: int) -> DataFrame:
     return whole.select(F.col("key").alias("__rl_key"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """docs with token_ids (array of int) instead of text_col."""
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", chunk: int = CHUNK, check: str | None = None) -> DataFrame:
+    """docs with token_ids (array of int) instead of text_col.
+
+    check names a further column, true where the ids decode to the text. A text that is one chunk is decoded
+    by the worker that encoded it: a second Python step in the same task would double the workers and their caches.
+    """
     data = _shared(docs.sparkSession, model_path)
-    others = [c for c in docs.columns if c not in (text_col, "token_ids")]
+    others = [c for c in docs.columns if c not in (text_col, "token_ids", check)]
     marked = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("__rl_text"))
     small = marked.where(F.length("__rl_text") <= chunk)
     schema = marked.drop("__rl_text").schema.add("token_ids", ArrayType(IntegerType()))
-    encoded = small.mapInArrow(_encode_batches(data), schema)
+    if check:
+        schema = schema.add(check, "boolean")
+    encoded = small.mapInArrow(_encode_batches(data, check), schema)
     giants = marked.where(F.length("__rl_text") > chunk).withColumn("__rl_key", F.monotonically_increasing_id())
     giants = common.stored(giants, "codec-giants")  # fixes the keys
     ids = _giant_ids(giants.select("__rl_key", "__rl_text"), data, chunk)
-    return encoded.unionByName(giants.drop("__rl_text").join(ids, "__rl_key").select(*others, "token_ids"))
+    if not check:
+        return encoded.unionByName(giants.drop("__rl_text").join(ids, "__rl_key").select(*others, "token_ids"))
+    # Ids are written once; only hashes of the texts that come back meet the originals.
+    ids = common.stored(ids, "codec-giant-ids")
+    back = decode(ids, model_path, name="__rl_back").select(F.col("__rl_key").alias("__rl_of"), F.sha2("__rl_back", 256).alias("__rl_back"))
+    wanted = giants.withColumn("__rl_text", F.sha2(F.translate("__rl_text", SPACE, " "), 256))
+    met = wanted.join(ids, "__rl_key").join(back, F.col("__rl_key") == F.col("__rl_of"))
+    return encoded.unionByName(met.select(*others, "token_ids", (F.col("__rl_text") == F.col("__rl_back")).alias(check)))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "token_ids", name: str = "text") -> DataFrame:
@@ -128,8 +147,6 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "tok
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_hash and whether the ids decode to the text, for every document."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.translate(F.coalesce("text", F.lit("")), SPACE, " ")).alias("text_hash"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    ids = encode(docs)
-    kept = ids.select("doc_id", "text_hash", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"), "token_ids")
-    back = decode(kept)
-    return back.select("doc_id", "n_chars", "n_tokens", "ids_hash", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    ids = encode(docs, check="round_trip")
+    return ids.select("doc_id", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"), "round_trip")

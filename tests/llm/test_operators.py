@@ -74,6 +74,8 @@ def test_codec_equals_the_library_and_chunks_agree(spark):
         rows = encoded.collect()
         assert len(rows) == len(texts) and all(list(r["token_ids"]) == library.encode(texts[r["doc_id"]]) for r in rows)
         assert all(r["text"] == texts[r["doc_id"]] for r in sentencepiece_codec.decode(encoded).collect())
+        checked = sentencepiece_codec.encode(docs.selectExpr("*", "1 AS same"), chunk=chunk, check="same").collect()
+        assert sorted((r["doc_id"], list(r["token_ids"])) for r in checked) == sorted((r["doc_id"], list(r["token_ids"])) for r in rows) and all(r["same"] is True for r in checked)
     model = bpe_lattice.Model(open(sentencepiece_codec.MODEL_PATH, "rb").read())
     rng, near = random.Random(3), model.longest
     for k in range(200):
