@@ -91,6 +91,14 @@ def test_codec_equals_the_library_and_chunks_agree(spark):
             assert left == bpe_lattice.combine(moves[0], bpe_lattice.combine(moves[1], moves[2]))
 
 
+def test_codec_round_trip_of_odd_rows(spark, odd, empty):
+    for chunk in (50_000, 900):
+        rows = sentencepiece_codec.encode(odd, chunk=chunk, check="round_trip").collect()
+        assert len(rows) == len(ODD) and all(r["round_trip"] is True for r in rows)
+        assert {r["doc_id"]: len(r["token_ids"]) for r in rows if r["doc_id"] in (2, 3)} == {2: 0, 3: 0}
+    assert sentencepiece_codec.encode(empty, check="round_trip").count() == 0
+
+
 def test_topk_with_bad_vectors_ties_and_blocks(spark):
     rng = np.random.default_rng(1)
     v = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 8]) for i in range(300)]
