@@ -16,7 +16,7 @@ searched, in shards of one of two kinds:
   other with four anchors in about 0.3 % of cases (measured in the tests).
 
 Each shard builds its own tree and searches it with the same triangle bounds. A shard above HOT rows is
-split into pieces that meet pairwise, so no task holds a whole hot group. What leaves a shard is a
+split into pieces of about HOT rows; a task compares two of them, so none holds a whole hot group. What leaves a shard is a
 spanning forest of its links, so a dense ball of n fingerprints yields fewer than n rows.
 
 Components: every node follows its least neighbour, with pointer jumping, in rounds that are written to
@@ -192,15 +192,15 @@ class Forest:
         return True
 
 
-def shard_links(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs: a spanning forest of all links between a home point and any point of the shard.
+def shard_links(points: np.ndarray, home: np.ndarray, radius: int, seek: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs: a spanning forest of all links between a home point and any point of the shard, or of seek.
 
-    A tree is grown over the home points while all points search it: a node sends a query to the
+    A tree is grown over the home points while those points search it: a node sends a query to the
     side that its distance allows, and to both within the radius of the cut.
     """
     forest = Forest(len(points))
     left, right = [], []
-    todo = [(np.flatnonzero(home), np.arange(len(points)))]
+    todo = [(np.flatnonzero(home), np.arange(len(points)) if seek is None else np.flatnonzero(seek))]
     while todo:
         own, queries = todo.pop()
         if not len(own) or not len(queries):
@@ -225,47 +225,58 @@ def shard_links(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.n
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def pieced(rows: DataFrame, own) -> DataFrame:
+    """rows with own, first and second: once for each pair of pieces (first <= second) that holds piece own.
+
+    rows names the number of pieces of each row's group. A pair of pieces holds two pieces and no more.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
+    return rows.withColumn("own", own).select("*", other).withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("other")
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come sorted by keys; a group may run over several batches."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        changed = (batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(axis=1)
+        bounds = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
+        for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            part = batch.iloc[i:j]
+            if rest and (k or (rest[0][keys].iloc[0].to_numpy() != part[keys].iloc[0].to_numpy()).any()):
+                yield pd.concat(rest)
+                rest = []
+            rest.append(part)
+    if rest:
+        yield pd.concat(rest)
+
+
+def dealt_pieces(dealt: DataFrame) -> DataFrame:
+    """shard, first, second, own, fp, home: what searched() compares, one group for each shard and pair of pieces."""
+    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = dealt.join(sizes, "shard").withColumn("pieces", F.ceil(F.col("n") / HOT).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    return pieced(sized, own).select("shard", "first", "second", "own", "fp", "home")
+
+
 def searched(dealt: DataFrame, radius: int) -> DataFrame:
     """a, b: the forests of all shards of dealt (shard, fp, home)."""
-    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = dealt.join(sizes, "shard")
-    # Pieces of a hot shard: a row is at home in one of them and visits those after it; visitors go to all.
-    pieces = F.ceil(F.col("n") / HOT).cast("int")
-    own = F.when(F.col("home"), F.pmod(F.xxhash64("fp"), pieces)).otherwise(0).cast("int")
-    spread = sized.select("shard", "fp", "home", own.alias("own"), F.explode(F.sequence(own, pieces - 1)).alias("piece"))
-    spread = spread.select("shard", "piece", "fp", (F.col("home") & (F.col("own") == F.col("piece"))).alias("home"))
+    keys = ["shard", "first", "second"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by shard and piece; a group may run over several batches."""
-        rest: list[pd.DataFrame] = []
-
-        def closed(group: pd.DataFrame, out: list) -> None:
+        for group in whole_groups(batches, keys):
             if len(group) < 2:
-                return
+                continue
             fps = group["fp"].tolist()
-            a, b = shard_links(unpacked(fps), group["home"].to_numpy(bool), radius)
-            if len(a):
-                out.append(pd.DataFrame({"a": [fps[i] for i in a], "b": [fps[i] for i in b]}))
-
-        for batch in batches:
-            out: list[pd.DataFrame] = []
-            keys = batch["shard"].to_numpy(), batch["piece"].to_numpy()
-            cuts = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)) + 1
-            bounds = [0, *cuts.tolist(), len(batch)]
-            for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
-                part = batch.iloc[i:j]
-                if rest and (k or (rest[0]["shard"].iloc[0], rest[0]["piece"].iloc[0]) != (keys[0][0], keys[1][0])):
-                    closed(pd.concat(rest), out)
-                    rest = []
-                rest.append(part)
-            if out:
-                yield pd.concat(out)
-        if rest:
-            last: list[pd.DataFrame] = []
-            closed(pd.concat(rest), last)
-            yield from last
-
-    return spread.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "fp").mapInPandas(search, "a binary, b binary")
+            points, home, own = unpacked(fps), group["home"].to_numpy(bool), group["own"].to_numpy()
+            first, second = own == group["first"].iloc[0], own == group["second"].iloc[0]
+            found = [shard_links(points, home & first, radius, second)]
+            if group["first"].iloc[0] != group["second"].iloc[0]:
+                found.append(shard_links(points, home & second, radius, first & ~home))
+            for a, b in found:
+                if len(a):
+                    yield pd.DataFrame({"a": [fps[i] for i in a], "b": [fps[i] for i in b]})
+
+    return dealt_pieces(dealt).repartition(*keys).sortWithinPartitions(*keys, "fp").mapInPandas(search, "a binary, b binary")
 
 
 def links(distinct: DataFrame, radius: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:

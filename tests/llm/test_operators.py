@@ -167,6 +167,24 @@ def test_hot_shards_are_split(spark, monkeypatch):
     assert simhash.components(spark.createDataFrame(edges, "a binary, b binary")).select("root").distinct().count() == 1
 
 
+def test_no_task_holds_more_than_two_pieces_of_a_hot_shard(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 50)
+    rng = np.random.default_rng(4)
+    points = np.unique(rng.integers(0, 1 << 12, 2000).astype(np.uint64)).reshape(-1, 1)
+    home = rng.random(len(points)) < 0.7
+    dealt = spark.createDataFrame([(0, bytearray(p), bool(h)) for p, h in zip(simhash.packed(points), home)], "shard long, fp binary, home boolean")
+    sizes = [r["count"] for r in simhash.dealt_pieces(dealt).groupBy("shard", "first", "second").count().collect()]
+    assert max(sizes) <= 3 * 50 and len(sizes) > 100
+    forest, found = simhash.Forest(len(points)), simhash.Forest(len(points))
+    for i in np.flatnonzero(home):
+        for j in np.flatnonzero(simhash.distances(points, points[i]) <= 1):
+            forest.join(int(i), int(j))
+    at = {bytes(p): i for i, p in enumerate(simhash.packed(points))}
+    for r in simhash.searched(dealt, 1).collect():
+        found.join(at[bytes(r["a"])], at[bytes(r["b"])])
+    assert [found.find(i) for i in range(len(points))] == [forest.find(i) for i in range(len(points))]
+
+
 def test_mix_targets_and_taken(spark):
     rows = [(i, s, "w " * n) for i, (s, n) in enumerate([("a", 10)] * 100 + [("b", 1)] * 50 + [(None, 7)] * 30 + [("c", 0)])]
     mixed = source_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
