@@ -343,16 +343,17 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 1
     return marked.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For texts: five-word shingles, and fingerprints that agree in four fifths of 256 bits.
-NEAR = {"width": 5, "blocks": 4, "radius": 51, "anchors": 4}
-
-
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; of rows that share doc_id and text, one.
 
+    Components are those of shingle_join (Jaccard similarity 0.8), or of near_dedup() with `how`.
+
     Rows without a doc_id can't be named as anyone's copy and stay.
     """
-    decided = common.stored(near_dedup(docs, **(how or NEAR)).select("doc_id", "component_id"), "simhash-decided")
+    from . import shingle_join  # it builds on this module
+
+    found = near_dedup(docs, **how) if how else shingle_join.near_dedup(docs)
+    decided = common.stored(found.select("doc_id", "component_id"), "simhash-decided")
     named = decided.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("__rl_keep"), F.col("rows").alias("__rl_rows"))
     kept = docs.join(named, F.col("doc_id") == F.col("__rl_keep"))
     if not named.where("__rl_rows > 1").isEmpty():

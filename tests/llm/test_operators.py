@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from rotorlens.llm import bpe_lattice, common, exact_dedup, html_extract, license_scan, lm_score, quality_classifier, registry, sentencepiece_codec, simhash, source_mix, token_counts, topk_search
+from rotorlens.llm import bpe_lattice, common, exact_dedup, html_extract, license_scan, lm_score, quality_classifier, registry, sentencepiece_codec, shingle_join, simhash, source_mix, token_counts, topk_search
 from tests.parity import differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -185,6 +185,46 @@ def test_no_task_holds_more_than_two_pieces_of_a_hot_shard(spark, monkeypatch):
     assert [found.find(i) for i in range(len(points))] == [forest.find(i) for i in range(len(points))]
 
 
+def _near_by_brute_force(rows):
+    """Component of each row of (doc_id, text) by all pairs of whole shingle sets."""
+    sets = [set(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else {tuple(w)} - {()} for w in (t.lower().split() for _, t in rows)]
+    forest = simhash.Forest(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                forest.join(i, j)
+    return {rows[i][0]: rows[forest.find(i)][0] for i in range(len(rows))}
+
+
+def test_near_copies_keep_the_jaccard_contract(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(40):  # edits of a tail: similarities from 0.6 to 0.95, most of them near 0.8
+        words = [word() for _ in range(204)]
+        rows += [(10 * g + c, " ".join(words[: 204 - cut] + [word() for _ in range(cut)])) for c, cut in enumerate((0, 10, 21, 22, 23, 24, 30, 40))]
+    expected = _near_by_brute_force(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, sample in ((4000, 4000), (3, 100)):
+        monkeypatch.setattr(shingle_join, "HOT", hot)
+        monkeypatch.setattr(shingle_join, "SAMPLE", sample)
+        assert {r["doc_id"]: r["component_id"] for r in shingle_join.near_dedup(frame).collect()} == expected
+    assert len(set(expected.values())) > 80
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(frame).collect()}
+    assert kept == set(expected.values())
+
+
+def test_near_copies_last_round_takes_all_pairs_within_bounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(40)]  # node i + 40 has the set of node i
+    rows = spark.createDataFrame([(7, i, 100, 5, 0 if i in (3, 43) else i + 100) for i in range(60)], "shingle long, node long, n long, pos int, root long")
+    parity = spark.createDataFrame([(i, shingle_join.parities(sets[i % 40])) for i in range(60)], "node long, parity array<long>")
+    for hot in (4000, 5):
+        monkeypatch.setattr(shingle_join, "HOT", hot)
+        found = [(r["a"], r["b"]) for r in shingle_join.candidates(rows, parity).collect()]
+        assert sorted(found) == [(i, i + 40) for i in range(20) if i != 3]
+
+
 def test_mix_targets_and_taken(spark):
     rows = [(i, s, "w " * n) for i, (s, n) in enumerate([("a", 10)] * 100 + [("b", 1)] * 50 + [(None, 7)] * 30 + [("c", 0)])]
     mixed = source_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
