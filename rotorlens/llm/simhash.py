@@ -5,16 +5,9 @@ joined by one space (fewer words: the whole sequence), XXH64 with seed 42; a bit
 over half of the hashes. Longer fingerprints mix each hash further. No words: fingerprint zero.
 
 Links: two fingerprints link at `radius` or fewer differing bits. Only distinct fingerprints are
-searched, in shards of one of two kinds:
-
-* narrow radius: a top vantage-point tree over a bounded sample splits the space; a fingerprint goes to
-  its home shard and, wherever |d(x, vantage) - cut| <= radius, to the other side too, so that every
-  pair within the radius meets in the home shard of one of the two. This finds all pairs.
-* wide radius (a fifth of the bits, for texts that share four fifths): no tree prunes there, since
-  distances of unrelated texts crowd around half of the bits. Shards are then the fingerprints that share
-  one of the text's `anchors`, its smallest shingle hashes. Texts of Jaccard similarity 0.8 miss each
-  other with four anchors in about 0.3 % of cases (measured in the tests).
-
+searched, in shards. A top vantage-point tree over a bounded sample splits the space; a fingerprint goes to
+its home shard and, wherever |d(x, vantage) - cut| <= radius, to the other side too, so that every
+pair within the radius meets in the home shard of one of the two. This finds all pairs.
 Each shard builds its own tree and searches it with the same triangle bounds. A shard above HOT rows is
 split into pieces of about HOT rows; a task compares two of them, so none holds a whole hot group. What leaves a shard is a
 spanning forest of its links, so a dense ball of n fingerprints yields fewer than n rows.
@@ -56,50 +49,45 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int = 3, blocks: int = 1, anchors: int = 0) -> tuple[bytes, list[int]]:
-    """The fingerprint, 8 * blocks bytes, and the smallest distinct shingle hashes."""
+def sketch(text: str | None, width: int = 3, blocks: int = 1) -> bytes:
+    """The fingerprint, 8 * blocks bytes."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return bytes(8 * blocks), [0] * min(anchors, 1)
+        return bytes(8 * blocks)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     span = min(width, len(words)) - 1
     ones = np.zeros(64 * blocks, np.int64)
-    least = np.zeros(0, np.uint64)
     for at in range(0, n, SLICE):
         to = min(at + SLICE, n)
         hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), ends[at + span : to + span].tolist())), np.uint64, to - at)
-        if anchors:
-            least = np.unique(np.concatenate((least, np.partition(hashes, anchors)[:anchors] if len(hashes) > anchors else hashes)))[:anchors]
         for block in range(blocks):
             bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             for part in range(0, len(bits), 255):  # bytes can't overflow within 255 rows
                 ones[64 * block : 64 * block + 64] += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
             if block + 1 < blocks:
                 hashes = _mixed(hashes)
-    fp = np.packbits(ones * 2 > n, bitorder="little").view("<u8").astype(">u8").tobytes()
-    return fp, least.view(np.int64).tolist()
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
-    return int.from_bytes(sketch(text, width)[0], "big")
+    return int.from_bytes(sketch(text, width), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, blocks: int = 1, anchors: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary), anchors (array of long), one row per row of docs."""
+def fingerprints(docs: DataFrame, width: int = 3, blocks: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (binary), one row per row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [sketch(t, width, blocks, anchors) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [m[0] for m in made], "anchors": [m[1] for m in made]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [sketch(t, width, blocks) for t in b["text"]]})
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
-    return chosen.mapInPandas(run, "doc_id string, fp binary, anchors array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return chosen.mapInPandas(run, "doc_id string, fp binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def unpacked(fps) -> np.ndarray:
@@ -299,12 +287,6 @@ def links(distinct: DataFrame, radius: int = 2, shard: int = SHARD, sample: int
     return searched(common.stored(distinct.select("fp").mapInPandas(deal, "shard long, fp binary, home boolean"), "simhash-dealt"), radius)
 
 
-def anchored_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """a, b: like links(), among fingerprints that share an anchor."""
-    dealt = distinct.select(F.explode("anchors").alias("shard"), "fp", F.lit(True).alias("home"))
-    return searched(common.stored(dealt, "simhash-dealt"), radius)
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node of each node's component, for every node that has an edge.
 
@@ -331,12 +313,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
-def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 1, anchors: int = 0, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 1, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id, one row per row of docs."""
-    marked = common.stored(fingerprints(docs, width, blocks, anchors, id_col, text_col), "simhash-fp")
-    # Equal fingerprints are one node; with anchors, equal texts have equal anchors, others share a node's first.
-    classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("anchors").alias("anchors")), "simhash-classes")
-    roots = components(anchored_links(classes, radius) if anchors else links(classes, radius, shard))
+    marked = common.stored(fingerprints(docs, width, blocks, id_col, text_col), "simhash-fp")
+    # Equal fingerprints are one node.
+    classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
+    roots = components(links(classes, radius, shard))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     member = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")

@@ -214,6 +214,17 @@ def test_near_copies_keep_the_jaccard_contract(spark, monkeypatch):
     assert kept == set(expected.values())
 
 
+def test_prefixes_of_near_sets_meet_however_often_shingles_repeat():
+    rng, none = np.random.default_rng(2), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 45)]
+        other = words[:44] + [f"v{k}"]
+        a, b = (shingle_join.shingles(" ".join(w * 4)) for w in (words, other))  # every shingle about four times
+        if shingle_join.near(len(a), len(b), len(np.intersect1d(a, b))):
+            assert set(shingle_join.prefix(a, *none).tolist()) & set(shingle_join.prefix(b, *none).tolist()), k
+    assert len(shingle_join.shingles("a b c d e " * 50)) == 5
+
+
 def test_near_copies_last_round_takes_all_pairs_within_bounds(spark, monkeypatch):
     rng = np.random.default_rng(6)
     sets = [rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(40)]  # node i + 40 has the set of node i
