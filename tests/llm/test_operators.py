@@ -130,6 +130,12 @@ def test_html_blocks():
     assert right >= 57
 
 
+@pytest.mark.parametrize("before", ['<svg class="i"/>', "<math/>", '<svg viewBox="0 0 1 1"><path d="M0"/></svg>', "<video-player></video-player>", "<title-bar></title-bar>", "<object-card></object-card>"])
+def test_html_text_after_raw_elements_stays(before):
+    page = html_extract.Page(f"<html><body>{before}<article><p>Main</p></article></body></html>")
+    assert "Main" in page.text and "path" not in "".join(page.text)
+
+
 def test_simhash_components_equal_brute_force(spark):
     docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs, shard=40, radius=12).collect()}
