@@ -5,9 +5,13 @@ checkpointed to the shared folder and never expires. Per digest of the normalise
 group's size, the identifier of the row that stays and a content locator (file and row index). Each
 digest that was hit more than once is then verified on the full bytes. Everything is DataFrame code.
 
-Defined cases: a null text counts as empty; empty texts are one group; a null doc_id sorts after all
-others; of rows that tie on length and doc_id the one with the greatest locator stays, so repeated
-rows lose all but one; an empty table gives an empty result; other columns are never read.
+With a state_dir the state is retained there: a later call over the same folder streams the files that
+have come since and no others, and they meet the digests of all files before.
+
+Defined cases: a null text counts as empty; empty texts are one group; doc_ids may be of any type that can be
+ordered, and a null one sorts after all others; of rows that tie on length and doc_id the one with the least
+locator stays, so repeated rows lose all but one; an empty table gives an empty result; other columns are
+never read; a folder's path may end in a slash.
 """
 
 from __future__ import annotations
@@ -47,45 +51,48 @@ def _rows(frame: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
 
 
 def _rank() -> Column:
-    """Greatest first: most code points, then smallest doc_id (~x reverses the order, null last), then locator."""
-    return F.struct("n", F.bitwise_not("doc_id").alias("inv"), "file", "row")
+    """Least first: most code points, then smallest doc_id (null last), then locator."""
+    return F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "file", "row")
 
 
-def _streamed_state(spark: SparkSession, path: str, schema, id_col, text_col, digest) -> DataFrame:
+def _streamed_state(spark: SparkSession, path: str, schema, id_col, text_col, digest, state_dir: str | None) -> DataFrame:
     """digest, best (rank of the row that stays), group_size after all rows have passed the state."""
-    out, checkpoint = common.fresh_path(spark, "dedup-updates"), common.fresh_path(spark, "dedup-state")
+    if state_dir:
+        out, checkpoint = f"{state_dir}/updates", f"{state_dir}/state"
+    else:
+        out, checkpoint = common.fresh_path(spark, "dedup-updates"), common.fresh_path(spark, "dedup-state")
     # A stream's path must be a folder or a pattern; as a pattern it may also name a single file.
     source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     rows = _rows(source, id_col, text_col, digest)
-    state = rows.groupBy("digest").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("seen"))
-    spark.createDataFrame([], state.schema).write.parquet(f"{out}/batch=none")
+    state = rows.groupBy("digest").agg(F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("seen"))
+    spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{out}/batch=none")
 
     def upsert(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")  # a repeated batch replaces itself
 
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    try:
-        for k, v in STATE_CONF.items():
-            spark.conf.set(k, v)
+    with common.conf(spark, STATE_CONF):
         query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(upsert).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    common.drop_path(spark, checkpoint)
-    # A later batch only raises a group's best row and size, so the last word is the maximum.
+    if not state_dir:
+        common.drop_path(spark, checkpoint)
+    # A later batch only betters a group's best row and raises its size.
     updates = spark.read.schema(state.schema).parquet(f"{out}/batch=*")
-    return updates.groupBy("digest").agg(F.max("best").alias("best"), F.max("seen").alias("group_size"))
+    groups = common.stored(updates.groupBy("digest").agg(F.min("best").alias("best"), F.max("seen").alias("group_size")), "dedup-groups")
+    if not state_dir:
+        common.drop_path(spark, out)
+    return groups
 
 
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
     """One row per stored row: doc_id, keep_id, group_size, kept, text_sha256 and its locator (file, row).
 
     digest may be any function of the normalised text; a weak one costs time and no correctness, since
-    texts that share a digest but differ in bytes are told apart by a full comparison.
+    texts that share a digest but differ in bytes are told apart by a full comparison. state_dir, a shared
+    folder, retains the state between calls.
     """
+    path = path.rstrip("/")
     schema = spark.read.parquet(path).select(id_col, text_col).schema
-    state = common.stored(_streamed_state(spark, path, schema, id_col, text_col, digest), "dedup-groups")
+    state = _streamed_state(spark, path, schema, id_col, text_col, digest, state_dir)
     rows = _rows(spark.read.schema(schema).parquet(path), id_col, text_col, digest)
 
     # Hits: compare full bytes. Minimum and maximum of a digest's texts are equal if all are.
@@ -100,12 +107,12 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         decided = narrow.join(state, "digest", "left")
     else:
         exact = rows.join(collided, "digest", "left_semi").withColumn("own", F.sha2("norm", 512))
-        groups = exact.groupBy("norm").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        groups = exact.groupBy("norm").agg(F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
         told = exact.join(groups, "norm").select("doc_id", "n", "file", "row", "digest", F.sha2("norm", 256).alias("text_sha256"), "best", "group_size")
         decided = narrow.join(collided, "digest", "left_anti").join(state, "digest", "left").unionByName(told)
     return decided.select(
         "doc_id",
-        F.bitwise_not("best.inv").alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
         (F.struct("best.file", "best.row") == F.struct("file", "row")).alias("kept"),
         "text_sha256",
@@ -116,11 +123,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs, whatever other columns it has."""
-    path = common.fresh_path(spark, "dedup-docs")
-    docs.write.parquet(path)
-    keys = exact_dedup(spark, path).where("kept").select(F.struct("file", "row").alias("__rl_kept"))
-    stored = spark.read.schema(docs.schema).parquet(path).withColumn("__rl_at", F.struct("_metadata.file_path", "_metadata.row_index"))
-    return stored.join(keys, F.col("__rl_at") == F.col("__rl_kept"), "left_semi").drop("__rl_at")
+    scan, path = common.on_file(docs, "dedup-docs")
+    return common.without_rows(scan, exact_dedup(spark, path).where("NOT kept").select("file", "row"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,23 +325,19 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 1
     return marked.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; of rows that share doc_id and text, one.
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs but for all but one of each component: the smallest doc_id stays (null last), then the first row.
 
-    Components are those of shingle_join (Jaccard similarity 0.8), or of near_dedup() with `how`.
-
-    Rows without a doc_id can't be named as anyone's copy and stay.
+    Components are those of shingle_join (five words, Jaccard similarity 0.8). Rows are told apart by their
+    place, so that ids may repeat or be null.
     """
     from . import shingle_join  # it builds on this module
 
-    found = near_dedup(docs, **how) if how else shingle_join.near_dedup(docs)
-    decided = common.stored(found.select("doc_id", "component_id"), "simhash-decided")
-    named = decided.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("__rl_keep"), F.col("rows").alias("__rl_rows"))
-    kept = docs.join(named, F.col("doc_id") == F.col("__rl_keep"))
-    if not named.where("__rl_rows > 1").isEmpty():
-        again = kept.where("__rl_rows > 1").withColumn("__rl_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__rl_text"]).drop("__rl_text")
-        kept = kept.where("__rl_rows = 1").unionByName(again)
-    return kept.drop("__rl_keep", "__rl_rows").unionByName(docs.where("doc_id IS NULL"))
+    scan, _ = common.on_file(docs, "simhash-docs")
+    rows = common.stored(shingle_join.near_rows(scan), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
+    least = rows.groupBy("root").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return common.without_rows(scan, rows.join(least, "root").where(place != F.col("least")).select("file", "row"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,17 @@ times its own size; what a clamped source leaves over is dealt again by weight a
 nobody is above its cap. A target is met by whole repetitions of every document, one repetition more
 for a seeded choice of documents, and a fractional repetition of the one document at the edge.
 
-The choice orders a source's documents by a seeded hash and takes them until the rest is used up.
-No source is ever sorted as one group: sizes are summed per hash bucket first, and only the rows of
-the one bucket that holds the edge are put in order.
+The choice orders a source's documents by a seeded hash of id and text and takes them until the rest is used
+up. No source is ever sorted as one group: sizes are summed per hash bucket first, then per hash in the one
+bucket that holds the edge, so all a source's documents need to know is one hash, its cut. Each document then
+decides by itself; none is shuffled.
+
+Rows of one id and text have one hash and one size. Where such a group lies on the edge, its rows are
+numbered by file and stretch of rows, however large the group is; as they are the same, reruns agree.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its
-own, last in order; rows that repeat are rows of their own; an empty table gives an empty result.
+own, last in order; a null doc_id is an id of its own; rows that repeat are rows of their own; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +25,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 4096
-
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, total_share: float = 1.0) -> DataFrame:
     """source, source_size, weight, target from rows (source, source_size); one row per source.
@@ -47,56 +50,97 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return walked.withColumn("target", F.coalesce(F.least(cap, level * F.col("weight")), cap)).select("source", "source_size", "weight", "target")
 
 
-def _order(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def _key(seed: int, text_col: str) -> Column:
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, whole_only: bool = False, text_col: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, whole (repetitions), extra (words on top), taken.
+def _bucket(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
-    whole_only rounds the fractional repetition at the edge to none or all of that document.
-    Rows with the same doc_id and source are one unit in the seeded order.
+
+def figures(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """A row for each source of sized (source, size, key): of, source_size, target, whole, cut, same, left.
+
+    Documents below the cut are taken once more, and `left` words of the `same` documents at the cut.
     """
-    # Columns are picked by name first, so that others can't clash with those made here.
-    sized = common.stored(
-        docs.select("doc_id", "source", common.word_count(F.col(text_col)).alias("size")).withColumn("key", _order(seed)).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "mix-sizes"
-    )
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    buckets = common.stored(buckets, "mix-buckets")
+    buckets = common.stored(sized.groupBy("source", _bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     goals = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
-    goal = F.round("target").cast("long")
-    goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
-    goals = goals.withColumn("rest", F.when(F.col("source_size") > 0, goal - F.col("whole") * F.col("source_size")).otherwise(0).cast("long"))
+    goal, whole = F.round("target").cast("long"), F.floor(F.round("target").cast("long") / F.col("source_size")).cast("long")
+    some = F.col("source_size") > 0
+    goals = goals.withColumn("whole", F.when(some, whole).otherwise(0)).withColumn("rest", F.when(some, goal - whole * F.col("source_size")).otherwise(0))
     goals = common.stored(goals, "mix-goals")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # A bucket's place in its source: at most BUCKETS small rows a source.
+    # A bucket's place in its source: at most 4096 small rows a source.
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.withColumn("below", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
-    at = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
-    edge = at.where("below < rest and below + bucket_size > rest").select(F.col("p.source").alias("edge_source"), F.col("p.bucket").alias("edge_bucket"), F.col("below").alias("edge_below"))
-    edge = common.stored(edge, "mix-edges")  # one row a source at most
-    # Documents meet their source's few figures; the table of sources is small, and the plan checks its size.
-    figures = goals.alias("g").join(edge, F.col("g.source").eqNullSafe(F.col("edge_source")), "left").select(F.col("g.source").alias("of"), "source_size", "target", "whole", "rest", "edge_bucket", "edge_below")
-    first_full = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).where("below + bucket_size <= rest").groupBy(F.col("p.source").alias("full_of")).agg(F.max("bucket").alias("full_to"))
-    figures = common.stored(figures.join(first_full, F.col("of").eqNullSafe(F.col("full_of")), "left").drop("full_of"), "mix-figures")
-    joined = sized.join(_small(figures), sized["source"].eqNullSafe(figures["of"])).drop("of")
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False))
-    plain = joined.where(~at_edge).withColumn("extra", F.when(F.col("bucket") <= F.col("full_to"), F.col("size")).otherwise(0))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("edge_below") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    edged = joined.where(at_edge).withColumn("left", left)
-    share = F.when(F.col("left") * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole_only else F.col("left")
-    edged = edged.withColumn("extra", F.when(F.col("left") <= 0, 0).when(F.col("left") >= F.col("size"), F.col("size")).otherwise(share)).drop("left")
-    mixed = plain.unionByName(edged)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "whole", F.col("extra").cast("long").alias("extra"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    rests = goals.select(F.col("source").alias("of"), "rest")
+    crossed = (F.col("below") < F.col("rest")) & (F.col("rest") <= F.col("below") + F.col("bucket_size"))
+    edges = placed.join(rests, F.col("source").eqNullSafe(F.col("of"))).where(crossed).select("of", F.col("bucket").alias("edge"), (F.col("rest") - F.col("below")).alias("rest"))
+    edges = common.stored(edges, "mix-edges")  # one row a source at most
+    inside = _met(sized, edges).where(_bucket(F.col("key")) == F.col("edge")).groupBy("source", "key").agg(F.count(F.lit(1)).alias("same"), F.sum("size").alias("key_size"), F.first("rest").alias("rest"))
+    running = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("left", F.col("rest") - F.coalesce(F.sum("key_size").over(running), F.lit(0)))
+    cuts = inside.where((F.col("left") > 0) & (F.col("left") <= F.col("key_size"))).select(F.col("source").alias("cut_of"), F.col("key").alias("cut"), "same", "left")
+    whole = goals.select(F.col("source").alias("of"), "source_size", "target", "whole")
+    return common.stored(whole.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"), "mix-figures")
+
+
+#: Sources up to this many go to every executor, some hundred bytes each; beyond it the plan shuffles and salts.
+BROADCAST_SOURCES = 100_000
+SALTS = 32
+
+
+def _met(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """rows (source, key, ...) with their source's row of by_source (of, ...)."""
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if by_source.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(by_source), same).drop("of")
+    salted = by_source.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("salt_of"))).drop("of", "salt", "salt_of")
+
+
+def _decided(rows: DataFrame, by_source: DataFrame, whole_only: bool) -> DataFrame:
+    """rows (source, size, key, file, row, ...) with their source's figures and extra, the words on top of whole repetitions."""
+    met = _met(rows, by_source)
+    share = lambda left, size: F.when(left * 2 >= size, size).otherwise(0) if whole_only else left
+    at = F.coalesce(F.col("key") == F.col("cut"), F.lit(False))
+    alone = F.when(at, share(F.col("left"), F.col("size"))).when(F.col("key") < F.col("cut"), F.col("size")).otherwise(0)
+    if by_source.where("same > 1").isEmpty():
+        return met.withColumn("extra", alone.cast("long"))
+    tied = at & (F.col("same") > 1)
+    stretch = ["source", "file", "stretch"]
+    ties = met.where(tied).withColumn("stretch", F.bitmap_bucket_number("row"))
+    before = Window.partitionBy("source").orderBy("file", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ties.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counted = common.stored(counted.select(F.struct(*stretch).alias("of_stretch"), "before"), "mix-ties")
+    place = F.row_number().over(Window.partitionBy(*stretch).orderBy("row"))
+    met_ties = ties.withColumn("place", place).join(counted, F.struct(*stretch).eqNullSafe(F.col("of_stretch")))
+    room = F.col("left") - (F.col("before") + F.col("place") - 1) * F.col("size")
+    some = F.when(room <= 0, 0).when(room >= F.col("size"), F.col("size")).otherwise(share(room, F.col("size")))
+    return met.where(~tied).withColumn("extra", alone.cast("long")).unionByName(met_ties.withColumn("extra", some.cast("long")).drop("stretch", "place", "before", "of_stretch"))
+
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, whole_only: bool = False, text_col: str = "text") -> DataFrame:
+    """doc_id, source, size, source_size, target, whole (repetitions), extra (words on top), taken.
 
-#: Sources up to this many go to every executor, some hundred bytes each; beyond it the plan shuffles.
-BROADCAST_SOURCES = 10_000
+    whole_only rounds the fractional repetition at the edge to none or all of that document.
+    """
+    # Columns are picked by name first, so that others can't clash with those made here.
+    sized = common.stored(docs.select("doc_id", "source", common.word_count(F.col(text_col)).alias("size"), _key(seed, text_col).alias("key")), "mix-sizes")
+    located = sized.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    mixed = _decided(located, figures(sized, weights, max_epochs), whole_only)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
-def _small(figures: DataFrame) -> DataFrame:
-    return F.broadcast(figures) if figures.count() <= BROADCAST_SOURCES else figures
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 42) -> DataFrame:
+    """The mix as rows of docs: each document as often as its source's target says, whole documents only."""
+    scan, _ = common.on_file(docs, "mix-docs")
+    sized = scan.select("source", common.word_count(F.col("text")).alias("size"), _key(seed, "text").alias("key"))
+    by_source = figures(common.stored(sized, "mix-sizes"), weights, max_epochs)
+    rows = scan.select("source", common.word_count(F.col("text")).alias("size"), _key(seed, "text").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.struct(*scan.columns).alias("own"))
+    times = (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
+    mixed = _decided(rows, by_source, whole_only=True).withColumn("times", times).where("times > 0")
+    return mixed.select("own", F.explode(F.sequence(F.lit(1), F.col("times")))).select("own.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +149,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('42:' || coalesce('=' || CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM s),
@@ -121,7 +165,7 @@ g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) //
 r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) - whole * source_size ELSE 0 END AS rest FROM g),
 p AS (
   SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole,
-    r.rest - coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+    r.rest - coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, room)) AS BIGINT) AS taken, source,
   CAST(whole AS BIGINT) AS whole, CAST(greatest(0, least(size, room)) AS BIGINT) AS extra
