@@ -5,11 +5,14 @@ list per component (places and weights of its non-zero entries). A block of quer
 components in turn; each query row's weight is scattered over the component's postings into a dense
 array of scores. A partition selection keeps k per query and block, and a merge keeps the k best.
 
-Queries and candidates meet block by block: each block of candidates is dealt once to every block of
-queries by key, so the stated set of queries is compared with all rows, and neither side is broadcast.
-
-Defined cases: vectors that are null, empty of components, or hold null or non-finite components take
-no part; vectors of different lengths score over their common components; ties go to the smaller
+Queries and candidates meet in a grid: a cell holds a group of query blocks and a stripe of candidate blocks, so
+that the stated set of queries is compared with all rows, tasks grow with both sides, a task holds a bounded
+number of rows, and neither side is broadcast. A candidate is dealt once for every 8,192 queries, a query once
+for every stripe.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part; an empty vector scores 0
+with all others; vectors of different lengths score over their common components; scaled components and scores
+are 64-bit integers, as the result has them; ties go to the smaller
 vec_id; a query's own row is any row of its vec_id, so rows that repeat a vec_id are never its
 candidates, and a repeated query vec_id asks once, with its least vector; null vec_ids take no part; an
 empty table gives an empty result; other columns are never read.
@@ -28,13 +31,15 @@ from . import common
 
 #: Rows in a block of queries and of candidates: a score array has at most QUERIES * CANDIDATES entries.
 QUERIES, CANDIDATES = 512, 4096
+#: Query blocks in a group, candidate blocks in a stripe at most, and stripes at least, for each core, where there are so many blocks.
+GROUP, STRIPE, STRIPES_A_CORE = 16, 16, 2
 
 
 def integers(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v (array of long) of the rows that take part."""
     v = F.col(vector_col)
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & good)
+    kept = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & good)
     return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
@@ -50,7 +55,7 @@ def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
         lengths = b["v"].map(len).to_numpy(np.int64)
         row = np.repeat(np.arange(len(b), dtype=np.int32), lengths)
         term = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-        weight = np.concatenate(b["v"].to_numpy()).astype(np.int64)
+        weight = np.concatenate([*b["v"].to_numpy(), np.zeros(0, np.int64)]).astype(np.int64)
         by_term = np.lexsort((row, term))
         by_term = by_term[weight[by_term] != 0]
         return pd.DataFrame({"block": [key[0]], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "term": [term[by_term].tobytes()], "row": [row[by_term].tobytes()], "weight": [weight[by_term].tobytes()]})
@@ -73,39 +78,52 @@ def accumulate(query: tuple, candidate: tuple) -> np.ndarray:
     return scores
 
 
-def _unpacked(r, side: str) -> tuple:
-    return tuple(np.frombuffer(r[side + name], kind) for name, kind in (("ids", np.int64), ("term", np.int32), ("row", np.int32), ("weight", np.int64)))
+def best_of(scores: np.ndarray, barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest scores that are not barred; of equal ones, those that stand first."""
+    n = scores.shape[1]
+    free = np.where(barred, np.iinfo(np.int64).min, scores)
+    cut = np.partition(free, max(0, n - k), axis=1)[:, max(0, n - k)][:, None]
+    above = (free > cut) & ~barred
+    level = (free == cut) & ~barred
+    room = k - above.sum(1)[:, None]
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
+
+
+def _unpacked(r) -> tuple:
+    return tuple(np.frombuffer(r[name], kind) for name, kind in (("ids", np.int64), ("term", np.int32), ("row", np.int32), ("weight", np.int64)))
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERIES, candidate_block: int = CANDIDATES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query."""
+    spark = vectors.sparkSession
     rows = common.stored(integers(vectors, scale, id_col, vector_col), "topk-rows")
     asked = common.stored(integers(queries, scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    q_blocks = -(-max(1, asked.count()) // query_block)
-    q = _blocks(asked, query_block, asked.count()).select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "term", "row", "weight")])
-    c = common.stored(_blocks(rows, candidate_block, rows.count()), "topk-blocks").select(*[F.col(c).alias(f"c_{c}") for c in ("block", "ids", "term", "row", "weight")])
-    dealt = c.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    met = common.stored(q, "topk-query-blocks").hint("shuffle_hash").join(dealt, F.col("q_block") == F.col("to"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.to_dict("records"):
-                query, candidate = _unpacked(r, "q_"), _unpacked(r, "c_")
-                q_ids, c_ids = query[0], candidate[0]
-                out = []
+    n, m = rows.count(), asked.count()
+    c_blocks, groups = -(-max(1, n) // candidate_block), -(-max(1, m) // (query_block * GROUP))
+    stripes = max(-(-c_blocks // STRIPE), min(c_blocks, STRIPES_A_CORE * spark.sparkContext.defaultParallelism))
+    q, c = _blocks(asked, query_block, m), _blocks(rows, candidate_block, n)
+    across = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name)
+    q = q.select("*", F.pmod("block", F.lit(groups)).alias("group"), across("stripe", stripes))
+    c = c.select("*", F.pmod("block", F.lit(stripes)).alias("stripe"), across("group", groups))
+
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        candidates = [_unpacked(r) for r in held.to_dict("records")]
+        for query in map(_unpacked, asked.to_dict("records")):
+            found = []
+            for candidate in candidates:
                 scores = accumulate(query, candidate)
-                # Rows are in order of vec_id: of equal scores, the one that stands earlier is better.
-                ranks = scores * len(c_ids) + np.arange(len(c_ids) - 1, -1, -1)
-                ranks[q_ids[:, None] == c_ids[None]] = np.iinfo(np.int64).min
-                most = min(k, len(c_ids))
-                best = np.argpartition(ranks, len(c_ids) - most, axis=1)[:, len(c_ids) - most :]
-                taken = np.take_along_axis(ranks, best, 1) != np.iinfo(np.int64).min
-                at, which = np.nonzero(taken)
-                hit = best[at, which]
-                out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": c_ids[hit], "score": scores[at, hit]}))
-                yield pd.concat(out)
-
-    found = met.mapInPandas(search, "query_id long, vec_id long, score long")
+                at, hit = best_of(scores, query[0][:, None] == candidate[0][None], k)
+                found.append(np.stack([query[0][at], candidate[0][hit], scores[at, hit]]))
+            ids, near, scores = np.concatenate(found, axis=1)
+            order = np.lexsort((near, np.invert(scores), ids))  # the inverted score falls as the score rises
+            ids, near, scores = ids[order], near[order], scores[order]
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))[: len(ids)]
+            place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+            out.append(pd.DataFrame({"query_id": ids, "vec_id": near, "score": scores})[place < k])
+        return pd.concat(out)
+
+    found = q.groupBy("group", "stripe").cogroup(c.groupBy("group", "stripe")).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -119,10 +137,10 @@ OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_inner_product(q.v, c.v), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
