@@ -1,17 +1,23 @@
 """Quality classifier by co-training two views of a document.
 
 The text view sees what a text is made of: the strongest evidence that any of its hashed words gives, and
-shares of letters, capitals, digits, marks, repeated words and lines. The metadata view sees what comes with it: source, language, length and shape as
-the table states them. Each is a logistic regression. A word's evidence is the log of how much more often
-bad documents have it than good ones; a document is counted out of the evidence it is learnt with, and the
-regression gets the strongest word and the three strongest, so that a few telling words count in a long
-text as in a short one. They start from labelled documents; over some rounds,
-each marks those unlabelled documents it is surest of, and the other learns from the marks. At the end each
-view is calibrated on labelled documents it has not learnt from, and the two log odds are added, weighted
-by how well each does there. All documents are scored, whole.
-
-Fitting uses bounded samples, chosen by hash: LABELLED labelled documents and POOL unlabelled ones. A
-document is good if its label says quality 1 and, where toxic is known, toxic 0.
+shares of letters, capitals, digits, marks, repeated words and lines. The metadata view sees what comes with it:
+source, language, both together, the stated length, and how that compares with the text's. Each is a logistic
+regression. A word's evidence is the log of how much more often bad documents have it than good ones; a document
+is counted out of the evidence it is learnt with, and the regression gets the strongest word and the three
+strongest, so that a few telling words count in a long text as in a short one.
+
+The views start from labelled documents. In each round each view ranks all unlabelled documents and marks those it
+is surest of, of both kinds in the shares of the labels, and the other learns from the marks. How sure a view may
+be is measured, not assumed: a mark weighs what the marking view gains over guessing among its surest documents
+of that kind that are labelled and that neither view has learnt from, so a view that knows little teaches little.
+At the end each view is calibrated on those documents, and the two log odds are added, weighted by how well each
+does there. All documents are scored, whole.
+
+Labels: a bounded sample, the LABELLED documents of the smallest hashes of doc_id; of a doc_id that stands in several
+rows, one. What is marked comes from all documents without a label; per_round of them each round, by parameter. A
+document is good if its label says quality 1 and, where toxic is known, toxic 0. The driver sees features of the
+labelled and marked documents, never texts.
 
 Rejection: a document is rejected if its combined probability of being good is under the threshold, which
 is set on the calibration documents so that at most `false_rejects` of the good ones go.
@@ -37,13 +43,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LABELLED, POOL = 6000, 6000
-L2, SURE = 1e-4, 3.0
+LABELLED = 6000
+L2 = 1e-4
 #: Rows in which a hashed word or value must occur to get a weight.
 MIN_ROWS = 10
 #: Rows in which a word must occur, besides the row in question, to be evidence.
 LEAST_ROWS = 5
-SHAPE, WORDS, META = 13, 1 << 18, 1 << 8
+SHAPE, WORDS, META = 13, 1 << 18, 1 << 10
 BARE = re.compile(r"[^a-zà-ÿ]+")
 
 
@@ -75,18 +81,19 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return shape, np.fromiter(slots, np.int64, len(slots))
 
 
-def meta_view(row: tuple) -> np.ndarray:
-    """Places of a document's metadata: source, language, and the stated length by size class."""
-    source, lang, n_chars = row
-    size = -1 if n_chars is None or n_chars != n_chars else int(np.log2(max(1, n_chars)) * 2)
-    return np.array([zlib.crc32(f"{k}={v}".encode()) % META for k, v in (("source", source), ("lang", lang), ("size", size), ("lang+size", (lang, size)))], np.int64)
+def meta_view(source: str | None, lang: str | None, n_chars: int | None, length: int) -> np.ndarray:
+    """Places of a document's metadata; lengths count by size class."""
+    size = lambda n: -1 if n is None or n != n else int(np.log2(max(1, n)) * 2)
+    gap = None if n_chars is None or n_chars != n_chars else size(n_chars) - size(length)
+    named = (("source", source), ("lang", lang), ("size", size(n_chars)), ("lang+size", (lang, size(n_chars))), ("source+lang", (source, lang)), ("gap", gap))
+    return np.array([zlib.crc32(f"{k}={v}".encode()) % META for k, v in named], np.int64)
 
 
 class Rows:
     """Sparse rows: some dense numbers each, and places that are 1."""
 
     def __init__(self, dense: list, places: list, width: int):
-        self.dense = np.array(dense, float).reshape(len(places), -1)
+        self.dense = np.array(dense, float).reshape(len(places), -1 if len(places) else 1)
         self.places, self.width = places, width
 
     def take(self, index) -> "Rows":
@@ -130,23 +137,24 @@ class Linear:
 class TextView:
     """A Linear over a text's shape and the evidence of its words."""
 
-    def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray, l2: float):
+    def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray, trust: np.ndarray):
         row, place = rows.flat()
-        self.bad = np.bincount(place, y[row] < 0.5, rows.width).astype(np.float32)
-        self.good = np.bincount(place, y[row] > 0.5, rows.width).astype(np.float32)
-        self.n_bad, self.n_good = float((y < 0.5).sum()), float((y > 0.5).sum())
-        self.linear = Linear(self._joined(rows, y), y, weight, l2)
+        self.bad = np.bincount(place, (trust * (y < 0.5))[row], rows.width).astype(np.float32)
+        self.good = np.bincount(place, (trust * (y > 0.5))[row], rows.width).astype(np.float32)
+        self.n_bad, self.n_good = float((trust * (y < 0.5)).sum()), float((trust * (y > 0.5)).sum())
+        self.linear = Linear(self._joined(rows, y, trust), y, weight * trust, L2)
 
-    def _joined(self, rows: Rows, y: np.ndarray | None = None) -> Rows:
+    def _joined(self, rows: Rows, y: np.ndarray | None = None, trust: np.ndarray | None = None) -> Rows:
         """y: the kinds of rows that were learnt from; each is counted out of its own evidence."""
         strongest = np.zeros((len(rows.places), 2))
         for i, p in enumerate(rows.places):
             if not len(p):
                 continue
-            own = 0.0 if y is None else float(y[i] > 0.5)
-            bad, good = self.bad[p] - (0 if y is None else 1 - own), self.good[p] - own
-            odds = np.log((bad + 0.5) / (self.n_bad + 1)) - np.log((good + 0.5) / (self.n_good + 1))
-            odds[bad + good < LEAST_ROWS] = 0
+            own_good = 0.0 if y is None else float(trust[i] * (y[i] > 0.5))
+            own_bad = 0.0 if y is None else float(trust[i] * (y[i] < 0.5))
+            bad, good = self.bad[p] - own_bad, self.good[p] - own_good
+            odds = np.log((np.maximum(bad, 0) + 0.5) / (self.n_bad + 1)) - np.log((np.maximum(good, 0) + 0.5) / (self.n_good + 1))
+            odds[bad + good < LEAST_ROWS - 1e-3] = 0
             top = np.partition(odds, len(odds) - 3)[-3:] if len(odds) > 3 else odds
             strongest[i] = top.max(), top.sum()
         # The words themselves are left out: a weight for each would learn the labelled texts by heart.
@@ -156,27 +164,63 @@ class TextView:
         return self.linear.logits(self._joined(rows))
 
 
-def _text_rows(texts: list) -> Rows:
-    seen = [text_view(t) for t in texts]
-    return Rows([x[0] for x in seen], [x[1] for x in seen], WORDS)
+class MetaView(Linear):
+    def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray, trust: np.ndarray):
+        super().__init__(rows, y, weight * trust, L2)
 
 
-def _meta_rows(rows: list) -> Rows:
-    return Rows([[1.0]] * len(rows), [meta_view(r) for r in rows], META)
+FEATURES = "__rl_shape binary, __rl_words binary, __rl_meta binary"
+
+
+def features(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """carried columns of docs, whatever their types, and the features of both views; texts are read once, here."""
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            made = [[], [], []]
+            metas = zip(*[b.column(f"__rl_{n}").to_pylist() for n in ("source", "lang", "chars")])
+            for value, meta in zip(b.column("__rl_text"), metas):  # one text becomes a Python object at a time
+                text = value.as_py()
+                shape, slots = text_view(text)
+                for to, x in zip(made, (shape.astype(np.float32), slots.astype(np.int32), meta_view(*meta, len(text or "")).astype(np.int32))):
+                    to.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in carried], *[pa.array(x, pa.binary()) for x in made]], [*carried, *names])
+
+    chosen = docs.select(*carried, F.col("text").alias("__rl_text"), F.col("source").alias("__rl_source"), F.col("lang").alias("__rl_lang"), F.col("n_chars").cast("long").alias("__rl_chars"))
+    schema = docs.select(*carried).schema
+    for n in names:
+        schema = schema.add(n, "binary")
+    return chosen.mapInArrow(run, schema)
+
+
+def _views(shape, words, meta) -> list[Rows]:
+    """The rows of both views from features()."""
+    read = lambda values, kind: [np.frombuffer(x, kind) for x in values]
+    return [Rows(read(shape, np.float32), [p.astype(np.int64) for p in read(words, np.int32)], WORDS), Rows([[1.0]] * len(meta), [p.astype(np.int64) for p in read(meta, np.int32)], META)]
+
+
+def squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Model:
-    """Both views, their calibration and the threshold; under a million numbers, whatever the input."""
+    """Both views, their calibration and the threshold; some million numbers, whatever the input."""
+
+    def __init__(self, views: list | None = None, calibration: Linear | None = None, threshold: float = 0.0, marks: list | None = None):
+        self.views, self.calibration, self.threshold, self.marks = views, calibration, threshold, marks or []
 
-    def __init__(self, text: TextView | None, meta: Linear | None, calibration: Linear | None, threshold: float):
-        self.text, self.meta, self.calibration, self.threshold = text, meta, calibration, threshold
+    def logits(self, rows: list[Rows]) -> list[np.ndarray]:
+        return [v.logits(r) for v, r in zip(self.views, rows)]
 
-    def probability(self, texts: list, metas: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.text is None or not texts:
-            return (np.full(len(texts), 0.5),) * 3
-        squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        a, b = self.text.logits(_text_rows(texts)), self.meta.logits(_meta_rows(metas))
-        return squash(a), squash(b), squash(self.calibration.logits(_two(a, b)))
+    def probability(self, rows: list[Rows]) -> list[np.ndarray]:
+        n = len(rows[0].places)
+        if self.views is None or not n:
+            return [np.full(n, 0.5)] * 3
+        both = self.logits(rows)
+        return [*map(squash, both), squash(self.calibration.logits(_two(*both)))]
 
 
 def _two(a: np.ndarray, b: np.ndarray) -> Rows:
@@ -189,90 +233,131 @@ def _weights(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
 
 
-def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, rounds: int = 3, per_round: int = 300, false_rejects: float = 0.01) -> Model:
-    """labelled: text, source, lang, n_chars, good; pool: the same without good. Rows in a fixed order."""
-    metas = lambda d: list(zip(d["source"], d["lang"], d["n_chars"]))
-    fold = np.arange(len(labelled)) % 4 == 3  # a quarter is kept for calibration
-    y = labelled["good"].to_numpy(np.float32)
+def reliability(logits: np.ndarray, y: np.ndarray, share: float, good: bool) -> float:
+    """What a view gains over guessing among its surest `share` (ten rows at least) of a kind: 0 nothing, 1 all."""
+    sign = 1 if good else -1
+    surest = np.argsort(-sign * logits, kind="stable")[: max(10, int(share * len(logits)))]
+    right, base = (y[surest] > 0.5) == good, ((y > 0.5) == good).mean()
+    return float(np.clip((right.mean() - base) / max(1 - base, 1e-6), 0, 1))
+
+
+def co_train(labelled: list[Rows], y: np.ndarray, surest, rounds: int = 3, per_round: int = 300, false_rejects: float = 0.01) -> Model:
+    """Both views of the labelled rows, in a fixed order, and whether each is good.
+
+    surest(model, view, good, n) gives the rows of both views of the n unlabelled documents that the model's view
+    is surest to be good (or bad) and that it has not given before, and the share of all unlabelled ones that they are.
+    """
+    fold = np.arange(len(y)) % 4 == 3  # a quarter is kept for calibration and trust
     if len(y) < 8 or len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
-        return Model(None, None, None, 0.0)
+        return Model()
     learns, checks = np.flatnonzero(~fold), np.flatnonzero(fold)
-    marked = [_text_rows(labelled["text"].tolist()), _meta_rows(metas(labelled))]
-    unmarked = [_text_rows(pool["text"].tolist()), _meta_rows(metas(pool))]
-    learnt = [(m.take(learns), y[learns]) for m in marked]
-    kinds = (TextView, Linear)
-    views = [kind(x, t, _weights(t), L2) for kind, (x, t) in zip(kinds, learnt)]
-    free = np.ones(len(pool), bool)
+    learnt = [[m.take(learns), y[learns], np.ones(len(learns))] for m in labelled]
+    held, held_y = [m.take(checks) for m in labelled], y[checks]
+    make = lambda: [kind(x, t, _weights(t), trust) for kind, (x, t, trust) in zip((TextView, MetaView), learnt)]
+    model = Model(make())
+    counts = [round(per_round * share) for share in (1 - y[learns].mean(), y[learns].mean())]
     for _ in range(rounds):
-        sure = []
-        for view, rows in zip(views, unmarked):
-            s = np.where(free, view.logits(rows), 0)
-            top = np.argsort(-np.abs(s), kind="stable")[:per_round]
-            top = top[np.abs(s[top]) > SURE]
-            sure.append((top, (s[top] > 0).astype(np.float32)))
-        # What one view is sure of teaches the other.
-        for own, (top, said) in ((0, sure[1]), (1, sure[0])):
-            if len(top):
-                learnt[own] = (learnt[own][0] + unmarked[own].take(top), np.concatenate([learnt[own][1], said]))
-                free[top] = False
-        views = [kind(x, t, _weights(t), L2) for kind, (x, t) in zip(kinds, learnt)]
-    both = _two(*[v.logits(m.take(checks)) for v, m in zip(views, marked)])
-    calibration = Linear(both, y[checks], np.ones(len(checks)), 1e-5, 600)
-    good = 1 / (1 + np.exp(-np.clip(calibration.logits(both), -30, 30)))[y[checks] > 0.5]
-    return Model(*views, calibration, min(0.5, float(np.quantile(good, false_rejects))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, **how) -> Model:
-    """A model from bounded samples, the documents of the smallest hashes of doc_id."""
+        told = []
+        for view in (0, 1):
+            known = model.views[view].logits(held[view])
+            for good in (0, 1):
+                rows, share = surest(model, view, bool(good), max(1, counts[good]))
+                told.append((1 - view, good, rows, reliability(known, held_y, share, bool(good))))
+        for other, good, rows, weight in told:  # what one view is sure of teaches the other
+            n = len(rows[other].places)
+            model.marks.append({"by": ("metadata", "text")[other], "good": bool(good), "rows": n, "weight": weight})
+            if n:
+                x, t, trust = learnt[other]
+                learnt[other] = [x + rows[other], np.concatenate([t, np.full(n, good, np.float32)]), np.concatenate([trust, np.full(n, weight)])]
+        model.views = make()
+    both = _two(*model.logits(held))
+    model.calibration = Linear(both, held_y, np.ones(len(checks)), 1e-5, 600)
+    good = squash(model.calibration.logits(both))[held_y > 0.5]
+    model.threshold = min(0.5, float(np.quantile(good, false_rejects)))
+    return model
+
+
+def _with_logits(made: DataFrame, model: Model) -> DataFrame:
+    """doc_id, row and the logits of both views, for rows of features()."""
+    shared = made.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            a, m = shared.value.logits(_views(b["__rl_shape"], b["__rl_words"], b["__rl_meta"]))
+            yield pd.DataFrame({"row": b["row"], "s0": a, "s1": m})
+
+    return made.select("row", *FEATURE_NAMES).mapInPandas(run, "row long, s0 double, s1 double")
+
+
+FEATURE_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, made: DataFrame | None = None, **how) -> Model:
+    """A model from a bounded sample of labels and all unlabelled documents. made: stored features(docs, ["doc_id", "row"])."""
+    if made is None:
+        made = common.stored(features(docs.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"]), "quality-features")
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("__rl_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    order = F.md5(F.col("doc_id").cast("string"))
-    # Ids are chosen first, so that texts of the sample alone come to the driver.
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    picked = marks.join(ids, F.col("__rl_id") == F.col("doc_id"), "left_semi").withColumn("o", F.md5(F.col("__rl_id").cast("string"))).orderBy("o", "good").limit(labelled).drop("o")
-    others = ids.join(marks, F.col("__rl_id") == F.col("doc_id"), "left_anti").withColumn("o", order).orderBy("o").limit(pool).drop("o")
-    view = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    a = view.join(F.broadcast(picked), F.col("doc_id") == F.col("__rl_id")).drop("__rl_id").toPandas()  # at most `labelled` rows
-    b = view.join(F.broadcast(others), "doc_id").toPandas()  # at most `pool` rows
-    a["o"], b["o"] = [[zlib.crc32(str(x).encode()) for x in d["doc_id"]] for d in (a, b)]
-    a, b = a.sort_values(["o", "doc_id", "good"], kind="stable"), b.sort_values(["o", "doc_id"], kind="stable")
-    return co_train(a, b, **how)
+    order = F.md5(F.col("__rl_id").cast("string"))
+    # Labels are chosen first; of a doc_id's rows the least features stand for it, so a repeated id stays one row.
+    ids = made.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    picked = common.stored(marks.join(ids, F.col("__rl_id") == F.col("doc_id"), "left_semi").withColumn("o", order).orderBy("o", "good").limit(labelled), "quality-labels")
+    chosen = picked.select("__rl_id").distinct()
+    seen = made.join(F.broadcast(chosen), F.col("doc_id") == F.col("__rl_id")).groupBy("__rl_id").agg(F.min(F.struct(*FEATURE_NAMES)).alias("f"))
+    rows = picked.join(seen, "__rl_id").select("o", "good", "f.*").toPandas().sort_values(["o", "good"], kind="stable")  # at most `labelled` rows
+    y = rows["good"].to_numpy(np.float32)
+    free = common.stored(made.select("row", F.col("doc_id")).join(marks.select("__rl_id").distinct(), F.col("doc_id") == F.col("__rl_id"), "left_anti").select("row"), "quality-unlabelled")
+    n_free, given, scored = free.count(), set(), {}
+
+    def surest(model: Model, view: int, good: bool, n: int) -> tuple[list[Rows], float]:
+        if scored.get("views") is not model.views:  # once a round
+            scored["views"] = model.views
+            scored["rows"] = common.stored(_with_logits(made, model).join(free, "row", "left_semi"), "quality-logits", [scored["rows"]] if "rows" in scored else [])
+        taken = scored["rows"].sparkSession.createDataFrame([(x,) for x in given], "row long") if given else free.limit(0)
+        best = scored["rows"].join(F.broadcast(taken), "row", "left_anti").orderBy(F.desc(f"s{view}") if good else F.asc(f"s{view}"), "row").limit(n)
+        own = [r["row"] for r in best.select("row").collect()]  # n rows, by parameter
+        given.update(own)
+        wanted = made.where(F.col("row").isin(own)).select("row", *FEATURE_NAMES).toPandas().sort_values("row") if own else rows.head(0)
+        return _views(*[wanted[c] for c in FEATURE_NAMES]), len(own) / max(1, n_free)
+
+    return co_train(_views(*[rows[c] for c in FEATURE_NAMES]), y, surest, **how)
 
 
 SCORES = "p_text double, p_meta double, p_good double, rejected boolean"
 
 
-def _scored(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
-    """carried columns of docs with the model's scores."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def classify(made: DataFrame, model: Model, carried: list[str]) -> DataFrame:
+    """carried columns of rows of features() with p_text, p_meta, p_good, rejected; one row per row."""
+    shared = made.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in SCORES.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            col = lambda n: b.column(n).to_pylist()
-            p = shared.value.probability(col("__rl_text"), list(zip(col("__rl_source"), col("__rl_lang"), col("__rl_chars"))))
+            p = shared.value.probability(_views(*[b.column(c).to_pylist() for c in FEATURE_NAMES]))
             new = [*map(pa.array, p), pa.array(p[2] < shared.value.threshold)]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in carried], *new], [*carried, *[f"__rl_{n}" for n in names]])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in carried], *new], [*carried, *names])
 
-    chosen = docs.select(*carried, F.col("text").alias("__rl_text"), F.col("source").alias("__rl_source"), F.col("lang").alias("__rl_lang"), F.col("n_chars").cast("long").alias("__rl_chars"))
-    schema = docs.select(*carried).schema
-    for n, kind in (x.split() for x in SCORES.split(", ")):
-        schema = schema.add(f"__rl_{n}", kind)
-    return chosen.mapInArrow(run, schema)
+    schema = made.select(*carried).schema
+    for x in SCORES.split(", "):
+        schema = schema.add(*x.split())
+    return made.select(*carried, *FEATURE_NAMES).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, p_text, p_meta, p_good, rejected: one row per row of docs."""
-    done = _scored(docs, model, ["doc_id"])
-    return done.select("doc_id", *[F.col(f"__rl_{x.split()[0]}").alias(x.split()[0]) for x in SCORES.split(", ")])
+    made = common.stored(features(docs.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"]), "quality-features")
+    return classify(made, fit(docs, labels, made=made, **how), ["doc_id"])
 
 
-def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are not rejected, with the columns of docs."""
-    return _scored(docs, model, docs.columns).where("NOT __rl_rejected").select(*docs.columns)
+    scan, _ = common.on_file(docs, "quality-docs")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = scan.select("doc_id", "text", "source", "lang", "n_chars", at.alias("at"), F.monotonically_increasing_id().alias("row"))
+    made = common.stored(features(placed, ["doc_id", "row", "at"]), "quality-features")
+    return common.without_rows(scan, classify(made, fit(scan, labels, made=made, **how), ["at"]).where("rejected").select("at.file", "at.row"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    return classify(docs, fit(docs, common.table(spark, sf_dir, "labels")))
+    return scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
