@@ -59,9 +59,10 @@ def telemetry_features(framed: DataFrame, width: int, fs: float) -> DataFrame:
 
 def align_shortest(df: DataFrame) -> DataFrame:
     """Samples of (rec, channel, n, x) that every channel of the recording has."""
-    sizes = df.groupBy("rec", "channel").agg(F.count(F.lit(1)).alias("size"))
-    shortest = sizes.groupBy("rec").agg(F.min("size").alias("shortest"))
-    return df.join(shortest, "rec").where(F.col("n") < F.col("shortest")).drop("shortest")
+    # The longest place each channel reaches is its size less one: no count and no join back is needed.
+    by_channel, by_rec = Window.partitionBy("rec", "channel"), Window.partitionBy("rec")
+    sized = df.withColumn("_size", F.max("n").over(by_channel))
+    return sized.withColumn("_shortest", F.min("_size").over(by_rec)).where(F.col("n") <= F.col("_shortest")).drop("_size", "_shortest")
 
 
 def durations(df: DataFrame, fs: float) -> DataFrame:

@@ -269,10 +269,15 @@ def accumulator_headroom(spark, d):
     return quant.headroom(layers)
 
 
-@query(W + f", s AS (SELECT *, max(abs(v)) OVER (PARTITION BY o) / 127 AS scale FROM v), q AS (SELECT o, i, {Q} AS q FROM s) SELECT x.o AS row, w.o, CAST(sum(x.q * w.q) AS BIGINT) AS acc FROM q x JOIN q w ON x.i = w.i WHERE w.o < 8 AND x.o >= 8 GROUP BY x.o, w.o")
+CENTRES = "c AS (SELECT label AS o, i, round(avg(v), 9) AS v FROM (SELECT label, unnest(generate_series(0, 63)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY label, i), "
+
+
+@query(W.rstrip() + f", {CENTRES} cs AS (SELECT *, max(abs(v)) OVER (PARTITION BY o) / 127 AS scale FROM c), cq AS (SELECT o, i, {Q} AS q FROM cs), s AS (SELECT *, max(abs(v)) OVER (PARTITION BY o) / 127 AS scale FROM v), q AS (SELECT o, i, {Q} AS q FROM s) SELECT x.o AS row, w.o, CAST(sum(x.q * w.q) AS BIGINT) AS acc FROM q x JOIN cq w ON x.i = w.i GROUP BY x.o, w.o")
 def int8_linear(spark, d):
-    q = quant.per_channel(_weights(spark, d))
-    return quant.int8_linear(q.where("o < 8"), q.where("o >= 8").select(F.col("o").alias("row"), "i", "q"))
+    """A linear layer whose weights are the classes' mean vectors, on every vector."""
+    centres = views.spectra(spark, d).groupBy(F.col("label").alias("o"), F.col("bin").alias("i")).agg(F.round(F.avg("x"), 9).alias("v"))
+    inputs = quant.per_channel(_weights(spark, d)).select(F.col("o").alias("row"), "i", "q")
+    return quant.int8_linear(quant.per_channel(centres), inputs)
 
 
 @query(W + ", a AS (SELECT o, i, v, rank() OVER (PARTITION BY o ORDER BY v DESC, i) AS f, rank() OVER (PARTITION BY o ORDER BY round(v * 100, 0) DESC, i) AS q FROM v), b AS (SELECT o, max(i) FILTER (f = 1) AS top, max(i) FILTER (q = 1) AS qtop FROM a GROUP BY o) SELECT round(avg(CASE WHEN top = qtop THEN 1.0 ELSE 0 END), 6) AS agreement, count(*) FILTER (top <> qtop) AS disagreements FROM b")
@@ -282,11 +287,11 @@ def quant_agreement(spark, d):
     return rounded(both.agg(F.avg((F.col("f") == F.col("q")).cast("double")).alias("agreement"), F.count_if(F.col("f") != F.col("q")).alias("disagreements")))
 
 
-@query("WITH v AS (SELECT label AS o, unnest(generate_series(0, 63)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 10) SELECT o, i, round(v * 1.5 / sqrt(0.25 + 1e-5), 6) AS w, round((0.1 - 0.2) * (1.5 / sqrt(0.25 + 1e-5)) + 0.3, 6) AS b FROM v")
+@query("WITH v AS (SELECT vec_id AS o, unnest(generate_series(0, 63)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT o, i, round(v * 1.5 / sqrt(0.25 + 1e-5), 6) AS w, round((0.1 - 0.2) * (1.5 / sqrt(0.25 + 1e-5)) + 0.3, 6) AS b FROM v")
 def batchnorm_fold(spark, d):
     lit = F.lit
     w, b = quant.fold_batchnorm(F.col("x"), lit(1.5), lit(0.3), lit(0.2), lit(0.25), lit(0.1))
-    return rounded(views.spectra(spark, d).where("rec < 10").select(F.col("label").alias("o"), F.col("bin").alias("i"), w.alias("w"), b.alias("b")))
+    return rounded(views.spectra(spark, d).select(F.col("rec").alias("o"), F.col("bin").alias("i"), w.alias("w"), b.alias("b")))
 
 
 @query("WITH v AS (SELECT vec_id % 5 AS fold, unnest(generate_series(0, 63)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT fold, i // 16 AS channel, round(avg(v), 6) AS mean, round(greatest(stddev_samp(v), 1e-6), 6) AS std FROM v GROUP BY fold, i // 16")

@@ -62,9 +62,9 @@ def grid_report(spark, d):
     return parsing.winding_names(_windings(spark, d)).groupBy("rating_w", "fault_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("severity_pct")).alias("severities"))
 
 
-@query("WITH x AS (SELECT doc_id, source, md5(left(coalesce(text, ''), 8000)) AS digest, length(text) AS size FROM documents), r AS (SELECT *, first_value(doc_id) OVER w AS f, row_number() OVER w AS r FROM x WINDOW w AS (PARTITION BY digest, size ORDER BY doc_id)) SELECT doc_id, r > 1 AS is_duplicate, CASE WHEN r > 1 THEN f END AS duplicate_of FROM r")
+@query("WITH x AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents), r AS (SELECT *, first_value(doc_id) OVER w AS f, row_number() OVER w AS r FROM x WINDOW w AS (PARTITION BY digest, size ORDER BY doc_id)) SELECT doc_id, r > 1 AS is_duplicate, CASE WHEN r > 1 THEN f END AS duplicate_of FROM r")
 def dedup_by_digest(spark, d):
-    return parsing.prefix_duplicates(views.table(spark, d, "documents"), "doc_id", "text", 8000)
+    return parsing.duplicates(views.table(spark, d, "documents"), "doc_id", "text")
 
 
 CLOCK = "WITH l AS (SELECT event_id, user_id, printf('%02d:%02d:%02d.%03d', hour(ts), minute(ts), second(ts), event_id % 1000) || ' -> ' || concat_ws(' ', event_id % 1024, event_id % 7, event_id % 11, event_id % 13, event_id % 17, event_id % 19, event_id % 23, event_id % 29) AS line FROM events) "

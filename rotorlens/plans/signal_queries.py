@@ -45,7 +45,7 @@ ev AS (
 RULE = f"WITH {DAY}, {TRACK} "
 EVENTS = f"WITH {DAY}, {TRACK}, {RUNS} "
 WIDE = f"""WITH {DAY},
-ph AS (SELECT rec, channel, 2 * sum(x * cos(n * {2 * math.pi * 0.1!r})) / count(*) AS re, -2 * sum(x * sin(n * {2 * math.pi * 0.1!r})) / count(*) AS im FROM day WHERE channel <> 'vib_x' AND n < 40 GROUP BY rec, channel),
+ph AS (SELECT rec, channel, 2 * sum(x * cos(n * {2 * math.pi * 0.1!r})) / count(*) AS re, -2 * sum(x * sin(n * {2 * math.pi * 0.1!r})) / count(*) AS im FROM day WHERE channel <> 'vib_x' AND n < (SELECT least(100000, min(s)) FROM (SELECT q.rec, count(*) AS s FROM day q WHERE q.channel <> 'vib_x' GROUP BY q.rec, q.channel) c WHERE c.rec = day.rec) GROUP BY rec, channel),
 wide AS (
   SELECT rec, max(re) FILTER (channel = 'I1') AS ar, max(im) FILTER (channel = 'I1') AS ai, max(re) FILTER (channel = 'I2') AS br, max(im) FILTER (channel = 'I2') AS bi, max(re) FILTER (channel = 'I3') AS cr, max(im) FILTER (channel = 'I3') AS ci
   FROM ph GROUP BY rec),
@@ -75,7 +75,9 @@ def _events(spark, d):
 
 
 def _wide(spark, d):
-    return electrical.side_by_side(electrical.phasors(views.day_signals(spark, d).where("channel <> 'vib_x'"), 0.1, limit=40))
+    # The transform's own limit; phases are cut to the shortest.
+    aligned = frames.align_shortest(views.day_signals(spark, d).where("channel <> 'vib_x'"))
+    return electrical.side_by_side(electrical.phasors(aligned, 0.1, limit=100_000))
 
 
 def _arrays(spark, d, name="a"):

@@ -35,9 +35,13 @@ def pair_modalities(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.groupBy("rating_w", "severity_pct", "fault_type").agg(pick("current").alias("current_key"), pick("vibration").alias("vibration_key"))
 
 
-def prefix_duplicates(files: DataFrame, key: str, content: str, prefix: int) -> DataFrame:
-    """key, is_duplicate, duplicate_of: rows whose size and digest of the first characters an earlier row has."""
-    digest = files.select(key, F.md5(F.substring(F.coalesce(content, F.lit("")), 1, prefix)).alias("digest"), F.length(content).alias("size"))
+def duplicates(files: DataFrame, key: str, content: str, prefix: int | None = None) -> DataFrame:
+    """key, is_duplicate, duplicate_of: rows whose size in bytes and digest an earlier row has.
+
+    The digest covers the whole content, or its first `prefix` bytes.
+    """
+    data = F.encode(F.coalesce(content, F.lit("")), "UTF-8")
+    digest = files.select(key, F.md5(data if prefix is None else F.substring(data, 1, prefix)).alias("digest"), F.octet_length(data).alias("size"))
     w = Window.partitionBy("digest", "size").orderBy(key)
     placed = digest.withColumn("first", F.first(key).over(w)).withColumn("place", F.row_number().over(w))
     again = F.col("place") > 1
