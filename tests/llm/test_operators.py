@@ -130,19 +130,6 @@ def test_topk_scores_beyond_the_fifteenth_digit():
     assert topk_search.best_of(least, np.array([[True, False, False]]), 5)[1].tolist() == [1, 2]
 
 
-def test_html_blocks():
-    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>A title here</h1><p>First words of it &amp; more.<p>Second   part\nof the text, with <b>bold</b> words.</article><div class='ad'>Buy this</div><footer>&copy; us</footer></body></html>"
-    model = html_extract.trained()
-    assert html_extract.main_texts([page, "", None], model) == ["A title here\nFirst words of it & more.\nSecond part of the text, with bold words.", "", ""]
-    rng = np.random.default_rng(99)
-    pool = html_extract._pool(rng)
-    right = 0
-    for _ in range(60):
-        html, main = html_extract._training_page(rng, pool)
-        right += set(html_extract.main_texts([html], model)[0].split("\n")) - {""} == main
-    assert right >= 57
-
-
 @pytest.mark.parametrize("before", ['<svg class="i"/>', "<math/>", '<svg viewBox="0 0 1 1"><path d="M0"/></svg>', "<video-player></video-player>", "<title-bar></title-bar>", "<object-card></object-card>"])
 def test_html_text_after_raw_elements_stays(before):
     page = html_extract.Page(f"<html><body>{before}<article><p>Main</p></article></body></html>")
