@@ -5,6 +5,10 @@ document keeps a segment tree whose leaves are short runs of pre-tokens and whos
 and tokens of their subtree. An edit finds its leaf from the root, splits anew only from a pre-token or two
 before the edit to where the old and new splits agree again, and updates the sums on the way up.
 
+Trees are rows that can be kept: trees() encodes every text once and gives, beside it, the lengths and counts of its
+pre-tokens, and edited() takes such rows and a batch of edits and gives the rows that the next batch starts from. Only
+what an edit touches is encoded after that.
+
 Boundary context: a pre-token depends on the text from its start to one character past its end, since
 the pattern looks back at nothing and ahead at one character (a run of white space gives its last character
 to the word after it). So a split that starts two pre-tokens before the first touched character is the
@@ -12,17 +16,20 @@ split of the whole text, and once it stops at an old boundary past the edit, eve
 
 Defined cases: a null or empty text has no tokens; edits are applied in order of (seq, start, stop,
 replacement), each in the coordinates of the text that the ones before it left, and are clamped to that
-text; a null replacement deletes; rows that repeat are counted each on its own; an empty table gives an
+text; a null replacement deletes; null places are the text's start; rows that repeat are counted each on its own; an empty table gives an
 empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +46,6 @@ class Counter:
     """Counts of pre-tokens, kept in two generations."""
 
     def __init__(self, ranks: bytes):
-        import re
         import sys
 
         import regex
@@ -83,14 +89,25 @@ class Counter:
 class Tree:
     """A document's segment tree: leaves of pre-tokens, and a binary heap of (characters, tokens) above them."""
 
-    def __init__(self, counter: Counter, text: str):
+    def __init__(self, counter: Counter, text: str, lengths: np.ndarray | None = None, counts: np.ndarray | None = None):
+        """lengths and counts: of the text's pre-tokens, if they are known; else the text is encoded."""
         self.counter = counter
-        pieces = counter.split(text)
-        counts = counter.counts(pieces)
+        if lengths is None:
+            pieces = counter.split(text)
+            counts = counter.counts(pieces)
+        else:
+            ends = np.cumsum(lengths).tolist()
+            pieces = [text[a:b] for a, b in zip([0, *ends], ends)]
+            counts = counts.tolist()
         self.leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
         self.reencoded = 0
         self._build()
 
+    def row(self) -> tuple[str, bytes, bytes]:
+        """The text, and lengths and counts of its pre-tokens."""
+        lengths = np.fromiter((len(p) for pieces, _ in self.leaves for p in pieces), np.uint32)
+        return self.text(), lengths.tobytes(), np.fromiter((n for _, counts in self.leaves for n in counts), np.uint32).tobytes()
+
     def _build(self) -> None:
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
@@ -214,37 +231,58 @@ def _counter(data) -> Counter:
     return _counters[key]
 
 
+TREE = "text string, lengths binary, counts binary"
 RESULT = "n_chars long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_reencoded long"
 
 
-def count_with_edits(docs: DataFrame, edits_col: str = "edits", ranks_path: str = RANKS_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts before and after the edits in edits_col, and how many pre-tokens the edits encoded anew.
-
-    edits_col: array<struct<seq, start, stop, replacement>>.
-    """
-    data = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())  # a vocabulary: a few MB
+def _mapped(rows: DataFrame, ranks_path: str, carried: list[str], taken: list[str], made: str, work) -> DataFrame:
+    """carried columns of rows, whatever their types, and those of `made`, by work(counter, *taken) row by row."""
+    data = rows.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())  # a vocabulary: a few MB
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+    columns = [x.split() for x in made.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(data)
         for b in batches:
-            out = []
-            for doc_id, text, edits in zip(b["doc_id"], b["text"], b["edits"]):
-                edits = [] if edits is None else sorted(((e["seq"], e["start"], e["stop"], e["replacement"] or "") for e in edits))
-                if not edits:
-                    n = sum(counter.counts(counter.split(text))) if text else 0
-                    size = len(text or "")
-                    out.append((doc_id, size, n, 0, size, n, 0))
-                    continue
-                tree = Tree(counter, text or "")
-                chars, tokens = tree.n_chars, tree.n_tokens
-                for _, start, stop, replacement in edits:
-                    tree.edit(start, stop, replacement)
-                out.append((doc_id, chars, tokens, len(edits), tree.n_chars, tree.n_tokens, tree.reencoded))
-            yield pd.DataFrame(out, columns=["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
-
-    kind = dict(docs.dtypes)[id_col]
-    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
-    return chosen.mapInPandas(run, f"doc_id string, {RESULT}").withColumn("doc_id", F.col("doc_id").cast(kind))
+            out = [work(counter, *[x.as_py() for x in row]) for row in zip(*[b.column(f"__rl_{c}") for c in taken])]
+            new = [pa.array([r[i] for r in out], kinds[kind]) for i, (_, kind) in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], *new], [*carried, *[name for name, _ in columns]])
+
+    schema = rows.select(*carried).schema
+    for name, kind in columns:
+        schema = schema.add(name, kind)
+    return rows.select(*carried, *[F.col(c).alias(f"__rl_{c}") for c in taken]).mapInArrow(run, schema)
+
+
+def _tree_row(counter: Counter, text: str | None) -> tuple:
+    pieces = counter.split(text or "")
+    return text or "", np.fromiter(map(len, pieces), np.uint32, len(pieces)).tobytes(), np.array(counter.counts(pieces), np.uint32).tobytes()
+
+
+def _edited_row(counter: Counter, text: str, lengths: bytes, counts: bytes, edits: list | None, keep: bool) -> tuple:
+    counts_before = np.frombuffer(counts, np.uint32)
+    n = (len(text), int(counts_before.sum()))
+    if not edits:
+        return (*((text, lengths, counts) if keep else ()), *n, 0, *n, 0)
+    tree = Tree(counter, text, np.frombuffer(lengths, np.uint32), counts_before)
+    for _, start, stop, replacement in sorted((e["seq"] or 0, e["start"] or 0, e["stop"] or 0, e["replacement"] or "") for e in edits):
+        tree.edit(start, stop, replacement)
+    return (*(tree.row() if keep else ()), *n, len(edits), tree.n_chars, tree.n_tokens, tree.reencoded)
+
+
+def trees(docs: DataFrame, ranks_path: str = RANKS_PATH, text_col: str = "text") -> DataFrame:
+    """docs with text, lengths and counts: each document's pre-tokens, encoded once. A column of these names is replaced."""
+    carried = [c for c in docs.columns if c not in (text_col, "text", "lengths", "counts")]
+    return _mapped(docs, ranks_path, carried, [text_col], TREE, _tree_row)
+
+
+def edited(rows: DataFrame, edits_col: str = "edits", ranks_path: str = RANKS_PATH, keep: bool = True) -> DataFrame:
+    """Rows of trees() after a batch of edits, array<struct<seq, start, stop, replacement>>, with counts before and
+    after and how many pre-tokens were encoded for it. keep: with the trees, for the next batch."""
+    made = [x.split()[0] for x in f"{TREE}, {RESULT}".split(", ")]
+    carried = [c for c in rows.columns if c not in (*made, edits_col)]
+    work = lambda counter, *x: _edited_row(counter, *x, keep)
+    return _mapped(rows, ranks_path, carried, ["text", "lengths", "counts", edits_col], f"{TREE}, {RESULT}" if keep else RESULT, work)
 
 
 #: What the production query takes out of texts: e-mail addresses, and runs of ten or more digits, dots and dashes.
@@ -254,24 +292,20 @@ PLACEHOLDER = "[removed]"
 
 def redactions(docs: DataFrame, pattern: str = PRIVATE, placeholder: str = PLACEHOLDER, text_col: str = "text") -> DataFrame:
     """docs with `edits`: one edit for each match of the pattern, last one first, so that places stay valid."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # Matches and the stretches between them alternate, so running lengths give each match its place.
-    hit = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(hit)), hit, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    start = F.lit(0)
-    zero = F.struct(start.alias("at"), F.array().cast("array<struct<seq:int,start:int,stop:int,replacement:string>>").alias("edits"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["g"]
-        edit = F.struct((-F.size(acc["edits"])).alias("seq"), begin.alias("start"), (begin + x["h"]).alias("stop"), F.lit(placeholder).alias("replacement"))
-        return F.struct((begin + x["h"]).alias("at"), F.concat(acc["edits"], F.array(edit)).alias("edits"))
+
+    @F.pandas_udf("array<struct<seq:int,start:int,stop:int,replacement:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        made = re.compile(pattern)
+        return texts.map(lambda t: [{"seq": -k, "start": m.start(), "stop": m.end(), "replacement": placeholder} for k, m in enumerate(made.finditer(t))])
 
     none = F.array().cast("array<struct<seq:int,start:int,stop:int,replacement:string>>")
-    return docs.withColumn("edits", F.when(text.rlike(pattern), F.aggregate(lengths, zero, step)["edits"]).otherwise(none))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Texts without a match are told in the JVM and cross to Python as empty strings.
+    hit = text.rlike(pattern)
+    return docs.withColumn("edits", F.when(hit, found(F.when(hit, text).otherwise(""))).otherwise(none))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, before and after private data have been taken out by edits."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_with_edits(redactions(docs))
+    return edited(trees(redactions(docs)), keep=False)
