@@ -297,12 +297,15 @@ def combine(a: dict, b: dict) -> dict:
     return out
 
 
-def cut_states(transfers: list[dict]) -> list[tuple[int, str]]:
-    """The one state at each cut, ends included, of a text whose chunks have these transfers."""
-    reached = [{(0, "")}]
+def cut_states(transfers: list[dict], entry: tuple[int, str] = (0, ""), leave: tuple[int, str] | None = None) -> list[tuple[int, str]]:
+    """The one state at each cut, ends included, of a stretch whose chunks have these transfers.
+
+    entry and leave: the states at the stretch's ends; without leave, the text ends there.
+    """
+    reached = [{entry}]
     for t in transfers:
         reached.append({x for s in reached[-1] if s in t for x in t[s]})
-    state = next(s for s in sorted(reached[-1]) if s[0] == 0)
+    state = next(s for s in sorted(reached[-1]) if s[0] == 0) if leave is None else leave
     states = [state]
     for t, before in zip(reversed(transfers), reversed(reached[:-1])):
         state = next(s for s in sorted(before) if state in t.get(s, ()))

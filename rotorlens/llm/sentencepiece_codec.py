@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding of whole tables; the lattice itself is in bpe_lattice.
 
 Texts up to `chunk` characters are one chunk, traced where they are. Longer ones are cut: chunk rows
-spread over the cluster give their transfers, the few states per cut of a text are combined in one small
-group, and the chunks are traced back independently. A text's ids come together only as its result.
+spread over the cluster give their transfers, neighbours' transfers are combined in a tree, the states at the
+cuts come down the same tree, and the chunks are traced back independently. A text's ids come together only as its result.
 
 Defined cases: a null or empty text has no ids and decodes to ''; U+2581 in a text decodes as a space, as
 the model has it; rows that repeat are encoded each on its own; an empty table gives an empty result; other
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from . import common
-from .bpe_lattice import SPACE, Model, cut_states
+from .bpe_lattice import SPACE, Model, combine, cut_states
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 50_000
+#: Neighbouring transfers that are combined at a time.
+FAN = 8
 _models: dict[int, Model] = {}
 
 
@@ -79,10 +82,18 @@ def _giant_ids(giants: DataFrame, data, chunk: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "k": b["k"], "moves": [pickle.dumps(model.transfer(*r)) for r in zip(b["before"], b["chunk"], b["after"])]})
 
-    def join_up(key, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("k")
-        states = cut_states([pickle.loads(m) for m in b["moves"]])
-        return pd.DataFrame({"key": b["key"], "k": b["k"], "ends": [pickle.dumps(pair) for pair in zip(states, states[1:])]})
+    def combined(key, b: pd.DataFrame) -> pd.DataFrame:
+        """One transfer for FAN neighbouring stretches."""
+        found = [pickle.loads(m) for m in b.sort_values("k")["moves"]]
+        return pd.DataFrame({"key": [key[0]], "k": [key[1]], "moves": [pickle.dumps(reduce(combine, found))]})
+
+    def settled(key, above: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+        """The states at the cuts inside a stretch, from those at its ends."""
+        if not len(above) or not len(below):
+            return pd.DataFrame({"key": [], "k": [], "ends": []})
+        below, ends = below.sort_values("k"), pickle.loads(above["ends"].iloc[0])
+        states = cut_states([pickle.loads(m) for m in below["moves"]], *ends)
+        return pd.DataFrame({"key": below["key"], "k": below["k"], "ends": [pickle.dumps(pair) for pair in zip(states, states[1:])]})
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(data)
@@ -94,8 +105,22 @@ def _giant_ids(giants: DataFrame, data, chunk: int) -> DataFrame:
             yield pd.DataFrame({"key": b["key"], "k": b["k"], "ids": ids})
 
     chunks = common.stored(giants.mapInPandas(cut, "key long, k int, before string, chunk string, after string"), "codec-chunks")
-    moves = chunks.mapInPandas(transfers, "key long, k int, moves binary")
-    states = moves.groupBy("key").applyInPandas(join_up, "key long, k int, ends binary")
+    # Up: transfers of neighbours are combined, FAN by FAN, until a text is one stretch. Down: the states at a stretch's
+    # ends give those at the cuts inside it. No task holds more than FAN transfers of a text, however long it is.
+    levels = [common.stored(chunks.mapInPandas(transfers, "key long, k int, moves binary"), "codec-moves")]
+    while levels[-1].where("k > 0").limit(1).count():
+        groups = levels[-1].withColumn("up", F.expr(f"k div {FAN}").cast("int")).groupBy("key", "up")
+        levels.append(common.stored(groups.applyInPandas(combined, "key long, k int, moves binary"), "codec-moves"))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [cut_states([pickle.loads(m)]) for m in b["moves"]]
+            yield pd.DataFrame({"key": b["key"], "k": b["k"], "ends": [pickle.dumps((x[0], x[-1])) for x in found]})
+
+    states = levels[-1].mapInPandas(ends, "key long, k int, ends binary")
+    for moves in reversed(levels[:-1]):
+        within = moves.withColumn("up", F.expr(f"k div {FAN}").cast("int"))
+        states = common.stored(states.withColumnRenamed("k", "up").groupBy("key", "up").cogroup(within.groupBy("key", "up")).applyInPandas(settled, "key long, k int, ends binary"), "codec-states")
     traced = chunks.join(states, ["key", "k"]).mapInPandas(trace, "key long, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return whole.select(F.col("key").alias("__rl_key"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
