@@ -1,10 +1,12 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rotorlens.llm import bpe_lattice, common, exact_dedup, html_extract, license_scan, lm_score, quality_classifier, registry, sentencepiece_codec, shingle_join, simhash, source_mix, token_counts, topk_search
 from tests.parity import differences
@@ -39,7 +41,7 @@ def _labels(spark):
 
 def test_odd_rows_and_empty_tables(spark, odd, empty):
     fits = {
-        "counts": lambda d: token_counts.count_with_edits(token_counts.redactions(d)), "codec": sentencepiece_codec.encode, "simhash": simhash.near_dedup, "near": simhash.keep_one_of_each,
+        "counts": lambda d: token_counts.edited(token_counts.trees(token_counts.redactions(d))), "codec": sentencepiece_codec.encode, "simhash": simhash.near_dedup, "near": simhash.keep_one_of_each,
         "mix": source_mix.mix, "licences": license_scan.scan, "lm": lm_score.score, "quality": lambda d: quality_classifier.scores(d, _labels(spark)), "exact": lambda d: exact_dedup.keep_one_of_each(spark, d),
     }
     for name, make in fits.items():
@@ -63,6 +65,41 @@ def test_token_counts_after_edits():
             assert tree.text() == text and tree.n_tokens == len(counter.encoding.encode_ordinary(text))
 
 
+def test_trees_are_kept_between_batches_of_edits(spark):
+    """Two batches on kept trees give the counts of the whole text, and encode next to nothing but what they touch."""
+    encoding = token_counts.Counter(open(token_counts.RANKS_PATH, "rb").read()).encoding
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["boat", "harbour", "12", "it's", "the"]) for _ in range(rng.choice([0, 3, 2000]))), "x") for i in range(30)]
+    batch = {}
+    for turn in range(2):
+        batch[turn] = [(i, [(0, rng.randint(0, 40), rng.randint(41, 60), "new words") for _ in range(i % 3)]) for i, *_ in rows]
+    edits = "__id long, edits array<struct<seq:int,start:int,stop:int,replacement:string>>"
+    kept = token_counts.trees(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"))
+    texts = {i: t for i, t, _ in rows}
+    for turn in range(2):
+        kept = common.stored(token_counts.edited(kept.join(spark.createDataFrame(batch[turn], edits), F.col("doc_id") == F.col("__id")).drop("__id")), "trees")
+        for i, found in batch[turn]:
+            for _, a, b, new in sorted(found):
+                t = texts[i]
+                a, b = min(a, len(t)), min(b, len(t))
+                texts[i] = t[:a] + new + t[max(a, b) :]
+        got = kept.collect()
+        assert all(r["text"] == texts[r["doc_id"]] and r["n_tokens_after"] == len(encoding.encode_ordinary(r["text"])) and r["n_chars_after"] == len(r["text"]) for r in got)
+        assert all(r["n_reencoded"] <= 30 * r["n_edits"] for r in got) and len(got) == 30
+
+
+def test_token_counts_query_by_brute_force(spark):
+    encoding = token_counts.Counter(open(token_counts.RANKS_PATH, "rb").read()).encoding
+    texts = {r["doc_id"]: r["text"] for r in common.table(spark, SMALL, "documents").collect()}
+    rows = registry.QUERIES["op1_token_counts"](spark, SMALL).collect()
+    assert len(rows) == len(texts) and sum(r["n_edits"] for r in rows) > 0
+    for r in rows:
+        before = texts[r["doc_id"]]
+        after, n = re.subn(token_counts.PRIVATE, token_counts.PLACEHOLDER, before)
+        assert (r["n_chars"], r["n_edits"], r["n_chars_after"]) == (len(before), n, len(after))
+        assert (r["n_tokens"], r["n_tokens_after"]) == (len(encoding.encode_ordinary(before)), len(encoding.encode_ordinary(after)))
+
+
 def test_codec_equals_the_library_and_chunks_agree(spark):
     import sentencepiece
 
@@ -280,8 +317,6 @@ def test_licence_places_by_brute_force(spark, odd):
 
 
 def test_exact_dedup_survives_colliding_digests(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     path = f"file://{tmp_path}/d"
     rows = [(1, "a b"), (2, "ab "), (3, "abc"), (4, None), (5, ""), (6, "ab "), (6, "ab ")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
