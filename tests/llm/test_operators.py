@@ -284,6 +284,17 @@ def test_prefixes_of_near_sets_meet_however_often_shingles_repeat():
     assert len(shingle_join.shingles("a b c d e " * 50)) == 5
 
 
+def test_wide_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(7)
+    for n in (0, 3, 300, 1500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for cut in (0, n // 20, n // 3):
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut // 2).astype(np.uint64)]))
+            gap = len(np.setxor1d(a, b))
+            seen = shingle_join.differing(shingle_join.wide_parities(a), shingle_join.wide_parities(b))
+            assert seen <= gap and (gap < 50 or seen > 0.6 * gap)
+
+
 def test_near_copies_last_round_takes_all_pairs_within_bounds(spark, monkeypatch):
     rng = np.random.default_rng(6)
     sets = [rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(40)]  # node i + 40 has the set of node i
