@@ -73,23 +73,80 @@ def fundamental(x: np.ndarray, fs: float, low: float = 20.0, high: float = 200.0
 
 
 def ridge(x: np.ndarray, fs: float, window_s: float = 0.25, hop_s: float = 0.05, low: float = 10.0, high: float = 500.0, taps: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Times and frequencies of the strongest bin of each frame, moved by a parabola through logarithms, then smoothed."""
-    w, h = int(round(window_s * fs)), int(round(hop_s * fs))
-    if len(x) < w:
-        return np.zeros(0), np.zeros(0)
-    frames = np.lib.stride_tricks.sliding_window_view(x, w)[::h]
-    m = np.abs(np.fft.rfft(frames * np.hanning(w), axis=1)) + 1e-12
+    """Times and frequencies of the strongest bin in the band of each frame, moved by a parabola through logarithms.
+
+    The parabola looks at neighbours within the band alone and moves as far as it says; a peak at the band's
+    edge stays on its bin. Frames are weighed by a periodic Hann window; then a median filter smooths.
+    """
+    w, h = max(16, int(round(window_s * fs))), max(1, int(round(hop_s * fs)))
     f = np.fft.rfftfreq(w, 1 / fs)
     band = np.flatnonzero((f >= low) & (f <= high))
-    k = band[m[:, band].argmax(1)]
-    rows = np.arange(len(m))
-    a, b, c = (np.log(m[rows, np.clip(k + d, 0, m.shape[1] - 1)]) for d in (-1, 0, 1))
+    if not len(band):
+        raise ValueError("no bin lies in the band")
+    if len(x) < w:
+        return np.zeros(0), np.zeros(0)
+    frames = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), w)[::h]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(w) / w)
+    m = np.log(np.maximum(np.abs(np.fft.rfft(frames * hann, axis=1))[:, band] / hann.sum(), 1e-30))
+    k = m.argmax(1)
+    rows, inner = np.arange(len(m)), (k > 0) & (k < len(band) - 1)
+    a, b, c = (m[rows, np.clip(k + d, 0, len(band) - 1)] for d in (-1, 0, 1))
     bend = a - 2 * b + c
-    shift = np.where(np.abs(bend) > 1e-12, np.clip(0.5 * (a - c) / np.where(bend == 0, 1, bend), -0.5, 0.5), 0)
-    hz = (k + shift) * fs / w
-    if taps > 1 and len(hz) >= taps:
-        hz = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(hz, taps // 2, mode="edge"), taps), axis=1)
-    return (np.arange(len(m)) * h + w / 2) / fs, hz
+    shift = np.where(inner & (bend != 0), 0.5 * (a - c) / np.where(bend == 0, 1, bend), 0.0)
+    return (np.arange(len(m)) * h + w / 2) / fs, median_filter(f[band][k] + shift * fs / w, taps)
+
+
+def median_filter(x: np.ndarray, taps: int) -> np.ndarray:
+    """Running median with repeated edges; shorter arrays stay as they are."""
+    if taps <= 1 or len(x) < taps:
+        return x
+    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, taps // 2, mode="edge"), taps), axis=1)
+
+
+def phase_frequency(x: np.ndarray, fs: float, centre: float, bandwidth: float = 20.0) -> float:
+    """Slope of the unwrapped phase of the analytic signal within centre -+ bandwidth, in Hz."""
+    f = np.fft.rfftfreq(len(x), 1 / fs)
+    phase = np.unwrap(np.angle(analytic(np.asarray(x, float), ((f >= centre - bandwidth) & (f <= centre + bandwidth)).astype(float))))
+    t = np.arange(len(x)) / fs
+    t = t - t.mean()
+    return float((t * (phase - phase.mean())).sum() / (t * t).sum() / (2 * np.pi))
+
+
+def frequency_track(x: np.ndarray, fs: float, window_s: float = 0.25, hop_s: float = 0.05, low: float = 10.0, high: float = 500.0, limit: float = 2.0, refine: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The ridge, refined by the phase slope of the window around each time where the ridge is flat."""
+    t, hz = ridge(x, fs, window_s, hop_s, low, high)
+    w = max(16, int(round(window_s * fs)))
+    if not refine or len(hz) < 3 or len(x) < w:
+        return t, hz
+    out = hz.copy()
+    for j in np.flatnonzero(np.abs(np.gradient(hz, t)) <= limit):
+        at = max(0, min(int(round(t[j] * fs)) - w // 2, len(x) - w))
+        out[j] = phase_frequency(x[at : at + w], fs, hz[j])
+    return t, out
+
+
+def runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """First and end place of each maximal stretch of equal flags."""
+    if not len(flags):
+        return []
+    edges = np.flatnonzero(flags[1:] != flags[:-1]) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(flags)]))
+
+
+def envelope_segments(x: np.ndarray, fs: float, smooth_s: float = 0.05, on: float = 0.25, least_s: float = 0.20) -> list[tuple[str, float, float, float]]:
+    """phase, t0, t1 and mean slope of the smoothed envelope's stretches; those under least_s are left out.
+
+    Below `on` of the 95th percentile the machine is off: accel before a start, decel at the place where it stops.
+    """
+    n = max(1, int(round(smooth_s * fs)))
+    e = np.convolve(np.abs(analytic(np.asarray(x, float) - np.mean(x))), np.ones(n) / n, mode="same")
+    t = np.arange(len(e)) / fs
+    top = float(np.percentile(e, 95))
+    running, slope = e > on * top, np.gradient(e, t)
+    steep = 0.5 * top / max(4 * smooth_s, 1e-6)
+    stops = ~running & np.concatenate(([False], running[:-1]))
+    flags = np.select([stops, ~running, slope > steep, slope < -steep], ["decel", "accel", "accel", "decel"], "cruise")
+    return [(str(flags[a]), float(t[a]), float(t[b - 1]), float(slope[a:b].mean())) for a, b in runs(flags) if t[b - 1] - t[a] >= least_s]
 
 
 def int8_conv(x: np.ndarray, w: np.ndarray, b: np.ndarray, w_scale: np.ndarray, x_scale: float) -> np.ndarray:

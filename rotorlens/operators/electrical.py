@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Converter and thermistor constants.
@@ -109,3 +109,65 @@ def bearing_orders(balls: int = 8, ball_mm: float = 6.75, pitch_mm: float = 28.5
     """Cage, ball, outer-race and inner-race orders from geometry."""
     ratio = ball_mm / pitch_mm * math.cos(math.radians(angle_deg))
     return {"ftf": (1 - ratio) / 2, "bsf": pitch_mm / ball_mm / 2 * (1 - ratio * ratio), "bpfo": balls / 2 * (1 - ratio), "bpfi": balls / 2 * (1 + ratio)}
+
+
+def converted(raw: DataFrame, kinds: dict[str, str], coefficients: tuple[float, float, float] = NTC_REFITTED, ratio: float = 1.0) -> DataFrame:
+    """rec, n, channel, x of raw (rec, n, channel, adc) in units, and each channel's counts again as <channel>_adc.
+
+    kinds: current, temperature or voltage for each channel.
+    """
+    of = lambda kind: F.col("channel").isin([c for c, k in kinds.items() if k == kind])
+    value = F.when(of("current"), acs712_amps(F.col("adc"))).when(of("temperature"), ntc_celsius(F.col("adc"), coefficients)).when(of("voltage"), bus_volts(F.col("adc"), ratio))
+    both = F.array(F.struct(F.col("channel").alias("channel"), value.alias("x")), F.struct(F.concat("channel", F.lit("_adc")).alias("channel"), F.col("adc").cast("double").alias("x")))
+    return raw.where(F.col("channel").isin(list(kinds))).select("rec", "n", F.explode(both).alias("s")).select("rec", "n", "s.channel", "s.x")
+
+
+#: Fixed value: harmonics of the supply that a winding's features hold.
+WINDING_ORDERS = 20
+
+
+def winding_features(windows: DataFrame, width: int, cycles: int, orders: int = WINDING_ORDERS, keys: tuple[str, ...] = ("rec", "w")) -> DataFrame:
+    """keys, neg_seq_ratio, park_eccentricity, third_harmonic_ratio, order_01.. of windows (keys, channel a/b/c, k, x).
+
+    cycles: turns of the supply in a window of `width` samples, so that each order is a bin. One pass sums what all
+    features need: phases side by side, then sines and cosines, means, squares and products.
+    """
+    if orders * cycles * 2 >= width:
+        raise ValueError(f"order {orders} is not below half the sampling rate")
+    pick = lambda ch: F.max(F.when(F.col("channel") == ch, F.col("x")))
+    wide = windows.groupBy(*keys, "k").agg(*[pick(ch).alias(ch) for ch in "abc"]).where("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
+    alpha = math.sqrt(2 / 3) * (F.col("a") - 0.5 * F.col("b") - 0.5 * F.col("c"))
+    beta = math.sqrt(0.5) * (F.col("b") - F.col("c"))
+    turn = lambda h: F.col("k") * (2 * math.pi * h * cycles / width)
+    # A whole number of turns sums to zero, so the mean of a window needs no taking off.
+    waves = [f(F.col(ch) * g(turn(h))).alias(f"{ch}{part}{h}") for h in range(1, orders + 1) for ch in "abc" for part, f, g in (("r", F.sum, F.cos), ("i", lambda v: -F.sum(v), F.sin))]
+    one = wide.withColumns({"alpha": alpha, "beta": beta}).groupBy(*keys).agg(*waves, F.count(F.lit(1)).alias("size"), F.var_samp("alpha").alias("p"), F.var_samp("beta").alias("q"), F.covar_samp("alpha", "beta").alias("r"))
+    one = one.where(F.col("size") == width)
+    mags = one.withColumns({f"{ch}m{h}": F.sqrt(F.col(f"{ch}r{h}") ** 2 + F.col(f"{ch}i{h}") ** 2) for h in range(1, orders + 1) for ch in "abc"})
+    bands = mags.withColumn("bands", F.array(*[(F.col(f"am{h}") + F.col(f"bm{h}") + F.col(f"cm{h}")) / 3 for h in range(1, orders + 1)]))
+    named = bands.withColumnsRenamed({f"{ch}{part}1": f"{ch}{part}" for ch in "abc" for part in "ri"})
+    zero, positive, negative = components()
+    high = F.greatest(positive, negative)
+    mid, gap = (F.col("p") + F.col("q")) / 2, F.sqrt(F.pow((F.col("p") - F.col("q")) / 2, 2) + F.col("r") * F.col("r"))
+    third = sum((F.when(F.col(f"{ch}m1") > 0, F.col(f"{ch}m3") / F.col(f"{ch}m1")).otherwise(0.0) for ch in "abc"), F.lit(0.0)) / 3
+    ranked = F.array_sort("bands")
+    middle = (F.get(ranked, F.lit((orders - 1) // 2)) + F.get(ranked, F.lit(orders // 2))) / 2
+    scale = F.greatest(middle, 1e-6 * F.array_max("bands"))
+    return named.select(
+        *keys,
+        F.when(high > 0, F.least(positive, negative) / high).otherwise(0.0).alias("neg_seq_ratio"),
+        F.when(mid + gap > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - (mid - gap) / (mid + gap)))).otherwise(0.0).alias("park_eccentricity"),
+        third.alias("third_harmonic_ratio"),
+        *[F.when(scale > 0, F.log1p(F.get("bands", F.lit(h - 1)) / scale)).otherwise(0.0).alias(f"order_{h:02d}") for h in range(1, orders + 1)],
+    )
+
+
+def mains_frequency(df: DataFrame, nominal: Column, fs: float) -> DataFrame:
+    """rec, hz: nominal plus the drift of its phase between the halves of a recording (rec, n, x)."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("rec"))
+    half = df.withColumns({"_size": size, "_turn": F.col("n") * (2 * math.pi / fs) * nominal}).withColumn("_half", (F.col("n") >= F.floor(F.col("_size") / 2)).cast("int")).where(F.col("n") < 2 * F.floor(F.col("_size") / 2))
+    part = lambda f, k: F.sum(F.when(F.col("_half") == k, F.col("x") * f("_turn")))
+    sums = half.groupBy("rec").agg(F.max("_size").alias("size"), F.max(nominal).alias("f0"), *[part(f, k).alias(f"{name}{k}") for k in (0, 1) for f, name in ((F.cos, "c"), (F.sin, "s"))])
+    drift = F.atan2(-F.col("s1"), F.col("c1")) - F.atan2(-F.col("s0"), F.col("c0"))
+    wrapped = drift - 2 * math.pi * F.round(drift / (2 * math.pi))
+    return sums.select("rec", (F.col("f0") + wrapped / (2 * math.pi * F.floor(F.col("size") / 2) / fs)).alias("hz"))

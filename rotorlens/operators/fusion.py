@@ -26,29 +26,47 @@ def pooled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p_fault", F.avg("p").over(last)).withColumn("n_obs", F.count(F.lit(1)).over(last))
 
 
-def _step(state: Column, p: Column, may: Column) -> Column:
-    count = lambda name, on: F.when(on, state[name] + 1).otherwise(0)
-    rise, warn, clear = count("rise", p >= TAU_FAULT), count("warn", p >= TAU_WARNING), count("clear", p < TAU_WARNING - HYSTERESIS)
-    status = F.when((rise >= CONSECUTIVE) & may, "Fault").when(warn >= CONSECUTIVE, F.when(state["status"] == "Fault", "Fault").otherwise("Warning")).when(clear >= CONSECUTIVE, "Normal").otherwise(state["status"])
-    return F.struct(rise.alias("rise"), warn.alias("warn"), clear.alias("clear"), status.alias("status"))
+def _statuses(ready: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds status to rows (*keys, n, p_fault, may) by windows alone: no row's history is ever held together.
+
+    A run counter reaches K where the last K observations, and none fewer, meet its level. Fault is left by clearing
+    alone, and Warning by Fault or clearing, so the last place of each deciding observation tells the status.
+    """
+    so_far = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy(*keys).orderBy("n").rowsBetween(-(CONSECUTIVE - 1), 0)
+    held = lambda on: (F.min(on.cast("int")).over(last) == 1) & (F.count(F.lit(1)).over(last) == CONSECUTIVE)
+    p = F.col("p_fault")
+    fault, warn, clear = held(p >= TAU_FAULT) & F.col("may"), held(p >= TAU_WARNING), held(p < TAU_WARNING - HYSTERESIS)
+    at = ready.withColumns({"_f": F.when(fault, F.col("n")), "_w": F.when(warn, F.col("n")), "_c": F.when(clear, F.col("n"))})
+    seen = at.withColumns({c: F.coalesce(F.max(c).over(so_far), F.lit(-1)) for c in ("_f", "_w", "_c")})
+    status = F.when(F.col("_f") > F.col("_c"), "Fault").when(F.col("_w") > F.col("_c"), "Warning").otherwise("Normal")
+    return seen.withColumn("status", status).drop("_f", "_w", "_c")
 
 
 def trace(rows: DataFrame, may_fault: Column) -> DataFrame:
-    """rec, n, p_fault, status after each observation.
+    """rec, n, p_fault, status after each observation of rows (rec, n, p)."""
+    return _statuses(pooled(rows).withColumn("may", may_fault), ["rec"]).select("rec", "n", "p_fault", "status")
 
-    A status depends on all observations before it, so a recording's probabilities (numbers, not signals)
-    are folded in order inside one expression.
-    """
-    ready = pooled(rows).withColumn("may", may_fault)
-    per = ready.groupBy("rec").agg(F.max("may").alias("may"), F.array_sort(F.collect_list(F.struct("n", "p_fault"))).alias("obs"))
-    zero = F.struct(F.lit(0).alias("rise"), F.lit(0).alias("warn"), F.lit(0).alias("clear"), F.lit("Normal").alias("status"))
-    start = F.struct(zero.alias("s"), F.array().cast("array<struct<n:bigint,p_fault:double,status:string>>").alias("out"))
 
-    def fold(acc: Column, o: Column) -> Column:
-        new = _step(acc["s"], o["p_fault"], F.col("may"))
-        return F.struct(new.alias("s"), F.concat(acc["out"], F.array(F.struct(o["n"].cast("long").alias("n"), o["p_fault"].alias("p_fault"), new["status"].alias("status")))).alias("out"))
+def evaluate(rows: DataFrame, labels: list[str], may_fault: Column, faults: list[str] | None = None) -> DataFrame:
+    """What each observation of rows (rec, epoch, n, probs) leaves its branch in; probs has one entry a label.
 
-    return per.select("rec", F.explode(F.aggregate("obs", start, fold)["out"]).alias("o")).select("rec", "o.n", "o.p_fault", "o.status")
+    The pool and the run counters start anew with each epoch, which is what a reset does; n_obs_total goes on.
+    faults: labels that count as faulty, by default all but healthy and normal. A wrong number of entries raises.
+    """
+    faults = [x for x in labels if x not in ("healthy", "normal")] if faults is None else faults
+    text = F.concat(F.lit(f"expected {len(labels)} probabilities, got "), F.size("probs").cast("string"))
+    checked = rows.withColumn("probs", F.when(F.size("probs") == len(labels), F.col("probs")).otherwise(F.raise_error(text).cast("array<double>")))
+    last = Window.partitionBy("rec", "epoch").orderBy("n").rowsBetween(-(POOL - 1), 0)
+    total = Window.partitionBy("rec").orderBy("epoch", "n").rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.array(*[F.avg(F.get("probs", F.lit(k))).over(last) for k in range(len(labels))])
+    ready = checked.withColumns({"mean": mean, "n_obs": F.count(F.lit(1)).over(last), "n_obs_total": F.count(F.lit(1)).over(total), "may": may_fault})
+    hit = [F.get("mean", F.lit(k)) for k, x in enumerate(labels) if x in faults]
+    ready = ready.withColumn("p_fault", sum(hit[1:], hit[0]) if hit else F.lit(0.0))
+    names = F.array(*[F.lit(x) for x in labels])
+    top = F.get(names, F.array_position("mean", F.array_max("mean")).cast("int") - 1)
+    out = _statuses(ready, ["rec", "epoch"])
+    return out.select("rec", "epoch", "n", "status", "p_fault", top.alias("top_class"), F.array_max("mean").alias("confidence"), "n_obs", "n_obs_total", F.col("may").alias("fault_authority"))
 
 
 def final_status(traced: DataFrame) -> DataFrame:
@@ -76,3 +94,29 @@ def evidence(status: Column, stage: Column, name: Column, confidence: Column, n_
 def authority_table(metrics: DataFrame) -> DataFrame:
     """Tests of the floor per branch; null where nothing was measured. metrics: branch, groups, f1."""
     return metrics.select("branch", "groups", "f1", F.when(F.col("f1").isNotNull(), F.col("groups") >= MIN_GROUPS).alias("groups_test"), F.when(F.col("f1").isNotNull(), F.col("f1") >= MIN_MACRO_F1).alias("metric_test"), tier(F.col("groups"), F.col("f1")).alias("tier"), authority(F.col("groups"), F.col("f1")).alias("fault_authority"))
+
+
+def number(value: Column, digits: int = 4) -> Column:
+    """A dash for null, NaN by name, else with `digits` decimals."""
+    return F.when(value.isNull(), "\u2014").when(F.isnan(value), "NaN").otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+
+
+def describe_metric(metrics: DataFrame) -> DataFrame:
+    """branch and one line on its metric. metrics: branch, groups, f1, protocol, metric_name."""
+    line = F.when(F.col("f1").isNull(), "not measured").otherwise(F.concat_ws(" \u00b7 ", F.concat_ws(" ", "metric_name", number(F.col("f1"))), F.col("protocol"), F.concat(F.col("groups").cast("string"), F.lit(" groups"))))
+    return metrics.select("branch", line.alias("line"))
+
+
+def stage_rows(stages: DataFrame, metrics: DataFrame, statuses: DataFrame) -> DataFrame:
+    """One row a stage, measured or not. stages: stage, branch; metrics as in describe_metric; statuses: branch, status."""
+    met = stages.join(metrics, "branch", "left").join(statuses, "branch", "left")
+    measured, may = F.col("f1").isNotNull(), authority(F.col("groups"), F.col("f1"))
+    named = tier(F.col("groups"), F.col("f1"))
+    line = F.when(measured, F.concat_ws(" \u00b7 ", F.concat_ws(" ", "metric_name", number(F.col("f1"))), F.col("protocol"), F.concat(F.col("groups").cast("string"), F.lit(" groups")))).otherwise("no results")
+    shown = F.coalesce("status", F.when(measured, "Normal").otherwise("NOT MEASURED"))
+    return met.select("stage", "branch", named.alias("tier"), shown.alias("status"), line.alias("metric_line"), may.alias("can_fault"), measured.alias("measured"))
+
+
+def metric_cards(metrics: DataFrame) -> DataFrame:
+    """One card a branch with its figure and the floors it is held against."""
+    return metrics.select("branch", tier(F.col("groups"), F.col("f1")).alias("tier"), F.col("f1").isNotNull().alias("measured"), F.when(F.col("f1").isNotNull(), number(F.col("f1"))).alias("metric"), "metric_name", "protocol", "groups", F.lit(MIN_GROUPS).alias("groups_floor"), F.lit(MIN_MACRO_F1).alias("metric_floor"))

@@ -98,9 +98,19 @@ def nearest_neighbour(rows: DataFrame, value: str = "v", label: str = "label", k
     from pyspark.sql import Window
 
     ranked = rows.select(key, F.col(label).alias("label"), F.col(value).alias("v"))
-    two = ranked.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "label"))), 1, 2).alias("least"))
-    w = Window.orderBy("v")
-    sided = two.select("v", "least", F.lag("v").over(w).alias("lv"), F.lag("least").over(w).alias("ll"), F.lead("v").over(w).alias("rv"), F.lead("least").over(w).alias("rl"))
+    pair = F.struct(F.col(key).alias("k"), "label")
+    # The least key of a value, then the least of the others: two aggregates that combine on the map side.
+    least = ranked.groupBy("v").agg(F.min(pair).alias("a"))
+    second = ranked.join(least, "v").where(F.col(key) != F.col("a.k")).groupBy("v").agg(F.min(pair).alias("b"))
+    two = least.join(second, "v", "left").select("v", F.array_compact(F.array("a", "b")).alias("least"))
+    # Distinct values are put in stretches of equal width; a stretch needs its neighbours' outermost values only.
+    span = two.agg(F.min("v").alias("_low"), F.max("v").alias("_high"))
+    dealt = two.join(F.broadcast(span)).withColumn("_s", F.floor((F.col("v") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) * 4096)).drop("_low", "_high")
+    ends = dealt.groupBy("_s").agg(F.min_by(F.struct("v", "least"), "v").alias("_first"), F.max_by(F.struct("v", "least"), "v").alias("_last"))
+    across = Window.orderBy("_s")  # one row a stretch
+    ends = ends.select("_s", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    w = Window.partitionBy("_s").orderBy("v")
+    sided = dealt.join(F.broadcast(ends), "_s").select("v", "least", F.coalesce(F.lag("v").over(w), F.col("_before.v")).alias("lv"), F.coalesce(F.lag("least").over(w), F.col("_before.least")).alias("ll"), F.coalesce(F.lead("v").over(w), F.col("_after.v")).alias("rv"), F.coalesce(F.lead("least").over(w), F.col("_after.least")).alias("rl"))
     joined = ranked.join(sided, "v")
     own = F.filter("least", lambda s: s["k"] != F.col(key))
     options = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.struct(F.abs(F.col("v") - at).alias("d"), F.get(c, F.lit(0))["k"].alias("k"), F.get(c, F.lit(0))["label"].alias("label"))) for c, at in ((own, F.col("v")), (F.col("ll"), F.col("lv")), (F.col("rl"), F.col("rv")))]))

@@ -108,3 +108,26 @@ def cruise_mask(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def gate(rows: DataFrame, parts: DataFrame, enabled: bool = False) -> DataFrame:
     """Rows in cruise if gating is on; all rows if it is off, as by default."""
     return cruise_mask(rows, parts).where("cruise").drop("cruise") if enabled else rows
+
+
+def supply_features(v: DataFrame) -> DataFrame:
+    """rec, w, state and eight numbers of each frame of verdicts(): RMS, RMS over the median phase, spread, vibration."""
+    r = [F.col(f"r{k}") for k in (1, 2, 3)]
+    middle = r[0] + r[1] + r[2] - F.greatest(*r) - F.least(*r)
+    ratios = [F.when(middle > 0, x / middle).otherwise(0.0).alias(f"q{k}") for k, x in enumerate(r, 1)]
+    return v.select("rec", "w", "state", "r1", "r2", "r3", *ratios, (F.least(*r) / F.greatest(F.greatest(*r), F.lit(1e-9))).alias("balance"), F.coalesce("vib", F.lit(0.0)).alias("vib"))
+
+
+def recording_summaries(v: DataFrame, found: DataFrame) -> DataFrame:
+    """rec, frames of each state, events, seconds in fault and the verdict, in one row a recording."""
+    states = ("normal", "off", *FAULTS)
+    counts = v.groupBy("rec").agg(F.count(F.lit(1)).alias("n_frames"), *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states])
+    worst = found.groupBy("rec").agg(F.count(F.lit(1)).alias("n_events"), F.sum("duration_s").alias("fault_s"), F.max(F.when(F.col("state") == FAULTS[1], 2).otherwise(1)).alias("_s"))
+    verdict = F.when(F.col("_s") == 2, FAULTS[1]).when(F.col("_s") == 1, FAULTS[0]).otherwise("normal")
+    return counts.join(worst, "rec", "left").select(*counts.columns, F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"), F.coalesce("fault_s", F.lit(0.0)).alias("fault_s"), verdict.alias("verdict"))
+
+
+def replayed(v: DataFrame) -> DataFrame:
+    """rec, n, probs of verdicts() as a branch reports them: all on the state's class; off counts as normal."""
+    at = [F.when(F.col("state").isin("normal", "off"), 1.0).otherwise(0.0), *[F.when(F.col("state") == s, 1.0).otherwise(0.0) for s in FAULTS]]
+    return v.select("rec", F.lit(0).alias("epoch"), F.col("w").alias("n"), F.array(*at).alias("probs"))

@@ -21,17 +21,51 @@ def roles(rows: DataFrame, folds: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def verify_folds(folds: DataFrame, groups: DataFrame) -> DataFrame:
-    """Groups that are not tested exactly once; empty if the folds are sound."""
+    """Groups that are not tested exactly once, and tested ones that are no groups; empty if the folds are sound."""
     tested = folds.groupBy("held").agg(F.count(F.lit(1)).alias("times"))
-    return groups.join(tested, groups["grp"] == tested["held"], "full_outer").select(F.coalesce("grp", "held").alias("grp"), F.coalesce("times", F.lit(0)).cast("long").alias("times")).where("times <> 1")
+    met = groups.join(tested, groups["grp"] == tested["held"], "full_outer")
+    return met.where(F.col("grp").isNull() | F.col("held").isNull() | (F.col("times") != 1)).select(F.coalesce("grp", "held").alias("grp"), F.coalesce("times", F.lit(0)).cast("long").alias("times"))
 
 
-def leaks(assigned: DataFrame, group: str = "grp") -> DataFrame:
-    """fold and group of every group that is in training and test of one fold, unless the fold is declared leaky."""
-    both = assigned.groupBy("fold", group).agg(F.count_distinct("role").alias("roles"))
+def leaks(assigned: DataFrame, group: str = "grp", declared: Column | None = None) -> DataFrame:
+    """fold and group of every group that is in training and test of one fold, unless `declared` says the fold is leaky."""
+    checked = assigned if declared is None else assigned.where(~declared)
+    both = checked.groupBy("fold", group).agg(F.count_distinct("role").alias("roles"))
     return both.where("roles > 1").select("fold", F.col(group).alias("grp"))
 
 
+def shared_rows(assigned: DataFrame, key: str = "row", declared: Column | None = None) -> DataFrame:
+    """fold and key of every row that trains and tests in one fold."""
+    return leaks(assigned, key, declared).withColumnRenamed("grp", key)
+
+
+def refused(folds: DataFrame, least: int) -> DataFrame:
+    """folds, or an error if they are fewer than `least`."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    text = F.concat(F.lit(f"{least} groups are needed, there are "), n.cast("string"))
+    return folds.withColumn("fold", F.when(n >= least, F.col("fold")).otherwise(F.raise_error(text).cast("long")))
+
+
+def described(rows: DataFrame, group: str = "grp", label: str = "label") -> DataFrame:
+    """One line a label with its groups and rows, and one for all."""
+    counts = rows.rollup(label).agg(F.count_distinct(group).alias("groups"), F.count(F.lit(1)).alias("n"))
+    return counts.select(F.format_string("%-12s %4d groups %7d rows", F.coalesce(F.col(label).cast("string"), F.lit("all")), "groups", "n").alias("line"))
+
+
+def saved_folds(folds: DataFrame, path: str) -> DataFrame:
+    folds.write.mode("overwrite").json(path)
+    return folds.sparkSession.read.schema(folds.schema).json(path)
+
+
+def reloaded_folds(spark, path: str, groups: DataFrame) -> DataFrame:
+    """The folds at path; raises unless they hold out exactly these groups (grp), each once."""
+    folds = spark.read.schema("fold long, held long").json(path)
+    wrong = verify_folds(folds, groups)
+    if not wrong.isEmpty():
+        raise ValueError(f"the stored folds do not cover the groups: {[tuple(r) for r in wrong.limit(5).collect()]}")
+    return folds
+
+
 def holdout(rows: DataFrame, condition: Column, key: str) -> DataFrame:
     """Rows with role test where the condition holds."""
     return rows.select(key, F.when(condition, "test").otherwise("train").alias("role"))
@@ -47,11 +81,23 @@ def contiguous_block(rows: DataFrame, share: float, purge: int, key: str, order:
     return placed.select(key, *(group or []), role.alias("role"))
 
 
+def _ranked(rows: DataFrame, order: Column, key: str, by: list[str], buckets: int = 1024) -> DataFrame:
+    """rows with _i, the place from 0 in (order, key) of each group of `by`, and _n, its size.
+
+    order is a column of hexadecimal hashes: its first digits deal rows to buckets, whose sizes (at most
+    `buckets` rows a group) give where each bucket begins, so no task sorts a whole group.
+    """
+    dealt = rows.withColumn("_o", order).withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 5), 16, 10).cast("long") * buckets / 2**20).cast("int"))
+    sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.partitionBy(*by)
+    begins = sizes.withColumn("_first", F.coalesce(F.sum("_size").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_size").over(w)).drop("_size")
+    placed = dealt.join(begins, [*by, "_b"])
+    return placed.withColumn("_i", F.col("_first") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_o", key)) - 1).drop("_o", "_b", "_first")
+
+
 def shuffled(rows: DataFrame, n_folds: int, seed: int, key: str, strata: list[str] | None = None) -> DataFrame:
     """key, fold: leaky folds by order of a hash; the first n % k folds hold one more."""
-    by = Window.partitionBy(*(strata or []))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    placed = rows.withColumn("_i", F.row_number().over(by.orderBy(order, key)) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
+    placed = _ranked(rows.select(key, *(strata or [])), F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key, strata or [])
     small, extra = F.expr(f"_n div {n_folds}"), F.col("_n") % n_folds
     edge = extra * (small + 1)
     fold = F.when(F.col("_i") < edge, F.floor(F.col("_i") / (small + 1))).otherwise(extra + F.floor((F.col("_i") - edge) / F.greatest(small, F.lit(1))))
@@ -65,9 +111,21 @@ def inner_split(groups: DataFrame, per_class: int, seed: int) -> DataFrame:
     return groups.withColumn("_r", rank).withColumn("_n", F.count(F.lit(1)).over(by)).select("grp", "label", F.when((F.col("_r") <= per_class) & (F.col("_n") > per_class), "validation").otherwise("fit").alias("role"))
 
 
-def evenly_spaced(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
-    """At most `most` rows at rounded even spacing over the order, first and last included."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    at = n.select(F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("k"), "n").select(F.rint(F.col("k") * (F.col("n") - 1) / max(most - 1, 1)).cast("long").alias("_i")).distinct()
-    return numbered.join(F.broadcast(at), "_i", "left_semi").drop("_i")
+def evenly_spaced(rows: DataFrame, most: int, order: str) -> DataFrame:
+    """At most `most` rows at rounded even spacing over a numeric order, first and last included.
+
+    Counts of `order` in equal stretches say in which stretch each wanted place lies; only those stretches' rows
+    are put in order, each on its own.
+    """
+    stretches = 4096
+    span = rows.agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    share = (F.col(order) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1))
+    dealt = rows.join(F.broadcast(span)).withColumn("_b", F.least(F.floor(share * stretches), F.lit(stretches - 1)))
+    sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"), F.max("_n").alias("_n"))
+    first = F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.withColumn("_first", first)  # one row a stretch
+    wanted = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.rint(k * (F.col("_n") - 1) / max(most - 1, 1)).cast("long")))
+    inside = F.filter(wanted, lambda i: (i >= F.col("_first")) & (i < F.col("_first") + F.col("_size")))
+    held = begins.withColumn("_want", inside).where(F.size("_want") > 0).select("_b", "_first", "_want")
+    placed = dealt.drop("_low", "_high", "_n").join(F.broadcast(held), "_b").withColumn("_i", F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1)
+    return placed.where(F.array_contains("_want", F.col("_i"))).select(*rows.columns)

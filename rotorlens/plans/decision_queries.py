@@ -167,7 +167,7 @@ def validation_group_count(spark, d):
 
 @query("WITH n AS (SELECT vec_id AS row, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT row FROM n WHERE i IN (SELECT DISTINCT round_even(k * (m - 1) / 19.0, 0) FROM (SELECT unnest(generate_series(0, 19)) AS k, (SELECT count(*) FROM embeddings) AS m))")
 def evenly_spaced_subset(spark, d):
-    return splits.evenly_spaced(_units(spark, d), 20, ["row"]).select("row")
+    return splits.evenly_spaced(_units(spark, d), 20, "row").select("row")
 
 
 @query("SELECT source, round(avg(toxic), 6) AS rate FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY source ORDER BY avg(toxic), source LIMIT 6")
