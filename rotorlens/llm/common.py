@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -136,6 +136,23 @@ def only_rows(scan: DataFrame, picked: DataFrame) -> DataFrame:
     return _by_row(scan, picked, inside=True)
 
 
+def lean(run: Callable) -> Callable:
+    """A worker's function that gives its free memory back when it is done: workers live on, and the next stage needs room."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -53,7 +53,7 @@ SHAPE, WORDS, META = 13, 1 << 18, 1 << 10
 BARE = re.compile(r"[^a-zà-ÿ]+")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=60_000)
 def _slot(word: str) -> int:
     """Where a word without its marks is counted; words that differ in case or marks only share a place."""
     bare = BARE.sub("", word.lower())
@@ -193,7 +193,7 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
     schema = docs.select(*carried).schema
     for n in names:
         schema = schema.add(n, "binary")
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(common.lean(run), schema)
 
 
 def _views(shape, words, meta) -> list[Rows]:
@@ -286,7 +286,7 @@ def _with_logits(made: DataFrame, model: Model) -> DataFrame:
             a, m = shared.value.logits(_views(b["__rl_shape"], b["__rl_words"], b["__rl_meta"]))
             yield pd.DataFrame({"row": b["row"], "s0": a, "s1": m})
 
-    return made.select("row", *FEATURE_NAMES).mapInPandas(run, "row long, s0 double, s1 double")
+    return made.select("row", *FEATURE_NAMES).mapInPandas(common.lean(run), "row long, s0 double, s1 double")
 
 
 FEATURE_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
@@ -341,7 +341,7 @@ def classify(made: DataFrame, model: Model, carried: list[str]) -> DataFrame:
     schema = made.select(*carried).schema
     for x in SCORES.split(", "):
         schema = schema.add(*x.split())
-    return made.select(*carried, *FEATURE_NAMES).mapInArrow(run, schema)
+    return made.select(*carried, *FEATURE_NAMES).mapInArrow(common.lean(run), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

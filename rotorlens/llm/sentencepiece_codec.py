@@ -49,7 +49,8 @@ def _shared(spark: SparkSession, path: str):
 def _encode_batches(data, check: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
-        for b in batches:
+        # Some hundred texts at a time, so that what a worker holds does not follow the size of a batch.
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, max(1, whole.num_rows), 500)):
             ids, same = [], []
             for value in b.column("__rl_text"):  # one text becomes a Python object at a time
                 text = value.as_py()
@@ -104,10 +105,10 @@ def _giant_ids(giants: DataFrame, data, chunk: int) -> DataFrame:
                 ids.append(model.trace(entry, chunk, after, leave))
             yield pd.DataFrame({"key": b["key"], "k": b["k"], "ids": ids})
 
-    chunks = common.stored(giants.mapInPandas(cut, "key long, k int, before string, chunk string, after string"), "codec-chunks")
+    chunks = common.stored(giants.mapInPandas(common.lean(cut), "key long, k int, before string, chunk string, after string"), "codec-chunks")
     # Up: transfers of neighbours are combined, FAN by FAN, until a text is one stretch. Down: the states at a stretch's
     # ends give those at the cuts inside it. No task holds more than FAN transfers of a text, however long it is.
-    levels = [common.stored(chunks.mapInPandas(transfers, "key long, k int, moves binary"), "codec-moves")]
+    levels = [common.stored(chunks.mapInPandas(common.lean(transfers), "key long, k int, moves binary"), "codec-moves")]
     while levels[-1].where("k > 0").limit(1).count():
         groups = levels[-1].withColumn("up", F.expr(f"k div {FAN}").cast("int")).groupBy("key", "up")
         levels.append(common.stored(groups.applyInPandas(combined, "key long, k int, moves binary"), "codec-moves"))
@@ -121,7 +122,7 @@ def _giant_ids(giants: DataFrame, data, chunk: int) -> DataFrame:
     for moves in reversed(levels[:-1]):
         within = moves.withColumn("up", F.expr(f"k div {FAN}").cast("int"))
         states = common.stored(states.withColumnRenamed("k", "up").groupBy("key", "up").cogroup(within.groupBy("key", "up")).applyInPandas(settled, "key long, k int, ends binary"), "codec-states")
-    traced = chunks.join(states, ["key", "k"]).mapInPandas(trace, "key long, k int, ids array<int>")
+    traced = chunks.join(states, ["key", "k"]).mapInPandas(common.lean(trace), "key long, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return whole.select(F.col("key").alias("__rl_key"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
 
@@ -139,7 +140,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     schema = marked.drop("__rl_text").schema.add("token_ids", ArrayType(IntegerType()))
     if check:
         schema = schema.add(check, "boolean")
-    encoded = small.mapInArrow(_encode_batches(data, check), schema)
+    encoded = small.mapInArrow(common.lean(_encode_batches(data, check)), schema)
     giants = marked.where(F.length("__rl_text") > chunk).withColumn("__rl_key", F.monotonically_increasing_id())
     giants = common.stored(giants, "codec-giants")  # fixes the keys
     ids = _giant_ids(giants.select("__rl_key", "__rl_text"), data, chunk)
