@@ -28,32 +28,48 @@ from . import common
 
 # Phrases and labels of the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Opening sentences of well-known public licences, and phrases without which none is named.
+# Sentences of well-known public licences and their notices, and phrases without which none is named.
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache-terms": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-notice": "this work is licensed under the gnu general public license version",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "cc": "this work is licensed under a creative commons attribution international license",
     "cc-nc": "licensed under cc by nc 4 0",
 }
 KEY_PHRASES = {
-    "mit": ("permission is hereby granted free of charge",),
+    "mit": ("any person obtaining a copy of this software",),
+    "mit-notice": ("shall be included in all copies or substantial portions",),
     "apache": ("apache license version 2 0", "apache license"),
+    "apache-terms": ("distributed on an as is basis",),
     "gpl": ("gnu general public license",),
     "gpl-notice": ("gnu general public license",),
+    "gpl-warranty": ("gnu general public license",),
+    "lgpl": ("gnu lesser general public license",),
+    "agpl": ("gnu affero general public license",),
     "bsd": ("redistribution and use in source and binary forms",),
+    "bsd-names": ("endorse or promote products derived from this software",),
     "mpl": ("mozilla public license",),
     "isc": ("permission to use copy modify",),
+    "zlib": ("in no event will the authors be held liable",),
+    "unlicense": ("unencumbered software released into the public domain",),
+    "boost": ("any person or organization obtaining",),
     "cc": ("creative commons attribution",),
     "cc-nc": ("cc by nc",),
 }
-LABEL_OF = {"gpl-notice": "gpl"}
-#: Words that every text has; they are never rare, so the index leaves them out.
-FUNCTION_WORDS = frozenset("a an and any are as at be by can for form if in is it may not of on or person that the this to under use v with you your 0 2 4 following free met files file terms code forms fee work source published conditions without subject".split())
+LABEL_OF = {"mit-notice": "mit", "apache-terms": "apache", "gpl-notice": "gpl", "gpl-warranty": "gpl", "bsd-names": "bsd"}
 RARE_WORDS = 8
 MIN_SHARE = 0.6
 
@@ -62,10 +78,22 @@ WORD_LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def index_words(templates: dict[str, str] = TEMPLATES) -> list[str]:
-    """Words that may enter the index, and the first words of all phrases to be checked."""
-    words = {w for t in templates.values() for w in t.split()} - FUNCTION_WORDS
-    return sorted(words | {p.split()[0] for p in BASE} | {p.split()[0] for k in templates for p in KEY_PHRASES[k]})
+def frequencies(docs: DataFrame, templates: dict[str, str], text_col: str) -> tuple[int, dict[str, int]]:
+    """The number of documents, and of those that hold each word of the templates."""
+    every = sorted({w for t in templates.values() for w in t.split()})
+    words = F.split(common.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD_LOWER)
+    held = docs.select(F.array_append(F.array_intersect(words, F.array(*[F.lit(w) for w in every])), F.lit("")).alias("held"))
+    # The empty word stands for the document itself.
+    counted = held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()  # the templates' words
+    found = {r["w"]: r["n"] for r in counted}
+    return found.pop("", 0), found
+
+
+def rarest(template: str, total: int, df: dict[str, int]) -> list[tuple[str, int, float]]:
+    """(word, offset, idf) of every place of the template's RARE_WORDS words of highest IDF, of equal ones the first by name."""
+    idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1.0 for w in template.split()}
+    chosen = sorted(idf, key=lambda w: (-idf[w], w))[:RARE_WORDS]
+    return [(w, at, idf[w]) for at, w in enumerate(template.split()) if w in chosen]
 
 
 def _any_of(words: list[str]) -> str:
@@ -88,12 +116,13 @@ def _starts(words: Column, hits: Column, phrase: str) -> Column:
     return F.transform(F.filter(hits, lambda h: F.coalesce(here(h), F.lit(False))), lambda h: h["pos"])
 
 
-def occurrences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, index: list[tuple], templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: row_key, doc_id, n_words, places of base phrases, verified templates and hits (pos, w).
 
     One pass over the texts; what is kept of each are its index hits. It is stored, which fixes row_key.
     """
-    vocabulary = index_words(templates)
+    firsts = {p.split()[0] for p in [*BASE, *(p for t in templates for p in KEY_PHRASES[t])]}
+    vocabulary = sorted({w for _, w, *_ in index} | firsts)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Most texts have no indexed word: one regular expression tells, and no word array is built.
     words = F.when(F.col("text").rlike(_any_of(vocabulary)), F.filter(F.split(common.ascii_lower(F.col("text")), NOT_WORD_LOWER), lambda w: w != ""))
@@ -113,27 +142,23 @@ def occurrences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col:
     return common.stored(seen, "licence-hits")
 
 
-def postings(seen: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """template, w, off, idf, whole: the positional index, as many rows as the templates' rare words have places."""
-    spark = seen.sparkSession
-    total = max(1, seen.count())
-    rows = seen.where(F.size("hits") > 0).select("row_key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w"))
-    df = {r["w"]: r["n"] for r in rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the vocabulary
-    idf = lambda w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1.0
+def positional_index(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str = "text") -> list[tuple]:
+    """(template, w, off, idf, whole): as many rows as the templates' rare words have places."""
+    total, df = frequencies(docs, templates, text_col)
     out = []
     for name, template in templates.items():
-        tokens = template.split()
-        usable = sorted({w for w in tokens if w not in FUNCTION_WORDS}, key=lambda w: (-idf(w), w))[:RARE_WORDS]
-        places = [(name, w, off, idf(w)) for off, w in enumerate(tokens) if w in usable]
-        whole = sum(p[3] for p in places)
-        out += [(*p, whole) for p in places]
-    return spark.createDataFrame(out, "template string, w string, off int, idf double, whole double")
+        places = rarest(template, total, df)
+        whole = sum(idf for *_, idf in places)
+        out += [(name, w, off, idf, whole) for w, off, idf in places]
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row per row of docs."""
-    seen = occurrences(docs, templates, id_col, text_col)
-    index = F.broadcast(postings(seen, templates))  # bounded by the templates
+    rows = positional_index(docs, templates, text_col)
+    seen = occurrences(docs, rows, templates, id_col, text_col)
+    # Bounded by the templates.
+    index = F.broadcast(docs.sparkSession.createDataFrame(rows, "template string, w string, off int, idf double, whole double"))
     # A vote may count a template's place once: an occurrence is one word at one position.
     votes = seen.where(F.size("verified") > 0).select("row_key", "verified", F.explode("hits").alias("h")).join(index, F.col("h.w") == F.col("w"))
     votes = votes.where(F.array_contains("verified", F.col("template"))).groupBy("row_key", "template", (F.col("h.pos") - F.col("off")).alias("placed"))
