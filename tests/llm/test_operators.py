@@ -318,13 +318,51 @@ def test_mix_targets_and_taken(spark):
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
 
 
-def test_licence_places_by_brute_force(spark, odd):
-    rows = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan(odd).collect()}
-    one, nine = rows[1, 7], rows[9, 6]
-    assert (one["n_base"], one["first_word"], one["last_word"], one["base_labels"]) == (2, 1, 5, "apache,mit")
-    assert (nine["n_base"], nine["first_word"], nine["base_labels"]) == (1, 3, "gpl")  # the accent makes another word of the first one
-    grant = spark.createDataFrame([(1, license_scan.TEMPLATES["bsd"].upper()), (2, "redistribution of binary forms")], "doc_id long, text string")
-    assert {r["doc_id"]: (r["labels"], r["n_base"]) for r in license_scan.scan(grant).collect()} == {1: ("bsd", 0), 2: ("", 0)}
+def _scan_by_brute_force(rows):
+    """Every column of the scan, text by text."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(common.UPPER, common.LOWER))) for _, t in rows]
+    total, held = len(rows), [set(w) for w in words]
+    out = []
+    places = {}
+    for name, template in license_scan.TEMPLATES.items():
+        tokens = template.split()
+        idf = {w: math.log((total + 1) / (sum(w in h for h in held) + 1)) + 1 for w in tokens}
+        rare = sorted(idf, key=lambda w: (-idf[w], w))[: license_scan.RARE_WORDS]
+        places[name] = [(w, k, idf[w]) for k, w in enumerate(tokens) if w in rare]
+    for (doc_id, _), w in zip(rows, words):
+        at = lambda phrase: [i for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]  # noqa: E731, B023
+        base = {label: at(phrase) for phrase, label in license_scan.BASE.items()}
+        found, best = set(), 0.0
+        for name, index in places.items():
+            if not any(at(p) for p in license_scan.KEY_PHRASES[name]):
+                continue
+            votes = collections.Counter()
+            for i, x in enumerate(w):
+                for v, k, weight in index:
+                    if v == x:
+                        votes[i - k] += weight
+            share = max(votes.values(), default=0) / sum(i for *_, i in index)
+            if round(share, 9) >= license_scan.MIN_SHARE:
+                found.add(license_scan.LABEL_OF.get(name, name))
+                best = max(best, share)
+        every = sorted(x for v in base.values() for x in v)
+        labels = {k for k, v in base.items() if v}
+        score = max(best, 0.5 if every else 0.0)
+        out.append((doc_id, len(w), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(labels)), ",".join(sorted(labels | found)), round(score, 6)))
+    return sorted(out, key=str)
+
+
+def test_licence_scan_by_brute_force(spark, odd):
+    rows = [(r["doc_id"], r["text"]) for r in common.table(spark, SMALL, "documents").collect()] + [(r["doc_id"], r["text"]) for r in odd.collect()]
+    rows += [(10_000 + k, f"Files.\n{t.upper()}; and more") for k, t in enumerate(license_scan.TEMPLATES.values())]
+    rows += [(20_000, "Redistribution of binary forms"), (20_001, " ".join(license_scan.TEMPLATES["bsd"].split()[:9]))]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = _scan_by_brute_force(rows)
+    assert sorted([(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 6)) for r in got], key=str) == want
+    named = {r["doc_id"]: r["labels"] for r in got}
+    for k, name in enumerate(license_scan.TEMPLATES):
+        assert license_scan.LABEL_OF.get(name, name) in named[10_000 + k].split(",")
+    assert named[20_000] == ""
 
 
 def test_exact_dedup_survives_colliding_digests(spark, tmp_path):
