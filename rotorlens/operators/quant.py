@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 127
+#: Weights, some thirty bytes each, that are sent to every task.
+BROADCAST_WEIGHTS = 1_000_000
 
 
 def quantised(value: Column, scale: Column) -> Column:
@@ -29,10 +31,28 @@ def per_tensor(weights: DataFrame) -> DataFrame:
     return weights.join(F.broadcast(top)).withColumn("q", quantised(F.col("v"), F.col("scale")))
 
 
-def activation_scale(values: DataFrame, percentile: float = 0.999, by: list[str] | None = None) -> DataFrame:
-    """Exact percentile of the magnitude / 127; 1 if it is 0."""
-    p = F.percentile(F.abs("v"), percentile)
-    return values.groupBy(*(by or [])).agg(F.when(p > 0, p / LIMIT).otherwise(1.0).alias("scale"))
+def activation_scale(values: DataFrame, percentile: float = 0.999, by: list[str] | None = None, buckets: int = 4096) -> DataFrame:
+    """Exact percentile (linear between ranks) of the magnitude / 127; 1 if it is 0.
+
+    Counts of equal stretches between 0 and the largest magnitude tell where the two ranks lie; only the values of
+    those stretches are put in order, so no buffer holds a group's distinct values.
+    """
+    by = by or []
+    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    rows = values.select(*by, key.alias("_k"), F.abs("v").cast("double").alias("_x"))
+    top = rows.groupBy("_k").agg(F.max("_x").alias("_top"), F.count("_x").alias("_n"))
+    dealt = rows.join(top, "_k").withColumn("_b", F.least(F.floor(F.col("_x") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0) * buckets), F.lit(buckets - 1)))
+    sizes = dealt.groupBy(*by, "_k", "_b").agg(F.count("_x").alias("_size"), F.max("_n").alias("_n"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = (F.col("_n") - 1) * F.lit(percentile)
+    begins = sizes.withColumn("_first", before).withColumns({"_low": F.floor(rank), "_high": F.ceil(rank), "_part": rank - F.floor(rank)})
+    held = begins.where((F.col("_first") <= F.col("_high")) & (F.col("_first") + F.col("_size") > F.col("_low")))
+    place = F.row_number().over(Window.partitionBy("_k", "_b").orderBy("_x")) - 1 + F.col("_first")
+    near = dealt.select("_k", "_b", "_x").join(held, ["_k", "_b"]).withColumn("_i", place)
+    pick = lambda c: F.max(F.when(F.col("_i") == F.col(c), F.col("_x")))
+    two = near.groupBy(*by, "_k").agg(pick("_low").alias("a"), pick("_high").alias("b"), F.max("_part").alias("part"))
+    p = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    return two.select(*by, F.when(p > 0, p / LIMIT).otherwise(1.0).alias("scale"))
 
 
 def headroom(layers: DataFrame, bits: int = 32) -> DataFrame:
@@ -45,11 +65,12 @@ def headroom(layers: DataFrame, bits: int = 32) -> DataFrame:
 def int8_linear(weights: DataFrame, inputs: DataFrame) -> DataFrame:
     """row, o, acc: integer products of quantised weights (o, i, q) and inputs (row, i, q).
 
-    The weight table is small and bounded by the network; the sum over i is a map-side aggregate.
+    Weights up to BROADCAST_WEIGHTS go to every task; beyond it both sides shuffle. The sum over i is a map-side aggregate.
     """
     w = weights.select("o", "i", F.col("q").cast("long").alias("wq"))
     x = inputs.select("row", "i", F.col("q").cast("long").alias("xq"))
-    return x.join(F.broadcast(w), "i").groupBy("row", "o").agg(F.sum(F.col("wq") * F.col("xq")).alias("acc"))
+    few = w.count() <= BROADCAST_WEIGHTS
+    return x.join(F.broadcast(w) if few else w, "i").groupBy("row", "o").agg(F.sum(F.col("wq") * F.col("xq")).alias("acc"))
 
 
 def fold_batchnorm(w: Column, gamma: Column, beta: Column, mean: Column, var: Column, bias: Column, eps: float = 1e-5) -> tuple[Column, Column]:
