@@ -64,6 +64,11 @@ def stored(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(stored_rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """Stored rows of a few numbers each, to be sent to every executor if they are `most` or fewer; beyond it, joins shuffle."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= most else stored_rows
+
+
 def drop(frame: DataFrame) -> None:
     """Delete the files of a frame that stored() returned."""
     files = frame.inputFiles()

@@ -337,6 +337,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = common.stored(shingle_join.near_rows(scan), "simhash-rows")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
     least = rows.groupBy("root").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = common.small(common.stored(least, "simhash-least"))
     return common.without_rows(scan, rows.join(least, "root").where(place != F.col("least")).select("file", "row"))
 
 
