@@ -142,19 +142,23 @@ class TextView:
         self.bad = np.bincount(place, (trust * (y < 0.5))[row], rows.width).astype(np.float32)
         self.good = np.bincount(place, (trust * (y > 0.5))[row], rows.width).astype(np.float32)
         self.n_bad, self.n_good = float((trust * (y < 0.5)).sum()), float((trust * (y > 0.5)).sum())
+        self.odds = self._odds(self.bad, self.good).astype(np.float32)
         self.linear = Linear(self._joined(rows, y, trust), y, weight * trust, L2)
 
+    def _odds(self, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        odds = np.log((np.maximum(bad, 0) + 0.5) / (self.n_bad + 1)) - np.log((np.maximum(good, 0) + 0.5) / (self.n_good + 1))
+        return np.where(bad + good < LEAST_ROWS - 1e-3, 0, odds)
+
     def _joined(self, rows: Rows, y: np.ndarray | None = None, trust: np.ndarray | None = None) -> Rows:
         """y: the kinds of rows that were learnt from; each is counted out of its own evidence."""
         strongest = np.zeros((len(rows.places), 2))
         for i, p in enumerate(rows.places):
             if not len(p):
                 continue
-            own_good = 0.0 if y is None else float(trust[i] * (y[i] > 0.5))
-            own_bad = 0.0 if y is None else float(trust[i] * (y[i] < 0.5))
-            bad, good = self.bad[p] - own_bad, self.good[p] - own_good
-            odds = np.log((np.maximum(bad, 0) + 0.5) / (self.n_bad + 1)) - np.log((np.maximum(good, 0) + 0.5) / (self.n_good + 1))
-            odds[bad + good < LEAST_ROWS - 1e-3] = 0
+            if y is None:
+                odds = self.odds[p]
+            else:
+                odds = self._odds(self.bad[p] - trust[i] * (y[i] < 0.5), self.good[p] - trust[i] * (y[i] > 0.5))
             top = np.partition(odds, len(odds) - 3)[-3:] if len(odds) > 3 else odds
             strongest[i] = top.max(), top.sum()
         # The words themselves are left out: a weight for each would learn the labelled texts by heart.
