@@ -298,7 +298,7 @@ def test_wide_parities_never_differ_more_than_the_sets():
 def test_near_copies_last_round_takes_all_pairs_within_bounds(spark, monkeypatch):
     rng = np.random.default_rng(6)
     sets = [rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(40)]  # node i + 40 has the set of node i
-    rows = spark.createDataFrame([(7, i, 100, 5, 0 if i in (3, 43) else i + 100) for i in range(60)], "shingle long, node long, n long, pos int, root long")
+    rows = spark.createDataFrame([(7, i, 100, 5, 0 if i in (3, 43) else i + 100, 60) for i in range(60)], "shingle long, node long, n long, pos int, root long, held long")
     parity = spark.createDataFrame([(i, shingle_join.parities(sets[i % 40])) for i in range(60)], "node long, parity array<long>")
     for hot in (4000, 5):
         monkeypatch.setattr(shingle_join, "HOT", hot)
