@@ -243,7 +243,8 @@ def _mapped(rows: DataFrame, ranks_path: str, carried: list[str], taken: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(data)
-        for b in batches:
+        # Some hundred texts at a time, so that what a worker holds does not follow the size of a batch.
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, max(1, whole.num_rows), 500)):
             out = [work(counter, *[x.as_py() for x in row]) for row in zip(*[b.column(f"__rl_{c}") for c in taken])]
             new = [pa.array([r[i] for r in out], kinds[kind]) for i, (_, kind) in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], *new], [*carried, *[name for name, _ in columns]])
@@ -285,6 +286,14 @@ def edited(rows: DataFrame, edits_col: str = "edits", ranks_path: str = RANKS_PA
     return _mapped(rows, ranks_path, carried, ["text", "lengths", "counts", edits_col], f"{TREE}, {RESULT}" if keep else RESULT, work)
 
 
+def counted(docs: DataFrame, edits_col: str = "edits", ranks_path: str = RANKS_PATH, text_col: str = "text") -> DataFrame:
+    """edited(trees(docs)) without the trees, in one worker a task: two steps in a row would hold the vocabulary's caches twice."""
+    made = [x.split()[0] for x in RESULT.split(", ")]
+    carried = [c for c in docs.columns if c not in (*made, text_col, edits_col)]
+    work = lambda counter, text, edits: _edited_row(counter, *_tree_row(counter, text), edits, False)
+    return _mapped(docs, ranks_path, carried, [text_col, edits_col], RESULT, work)
+
+
 #: What the production query takes out of texts: e-mail addresses, and runs of ten or more digits, dots and dashes.
 PRIVATE = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}|\+?[0-9][0-9 .\-]{8,}[0-9]"
 PLACEHOLDER = "[removed]"
@@ -308,4 +317,4 @@ def redactions(docs: DataFrame, pattern: str = PRIVATE, placeholder: str = PLACE
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, before and after private data have been taken out by edits."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return edited(trees(redactions(docs)), keep=False)
+    return counted(redactions(docs))
