@@ -11,12 +11,13 @@ shingles are common; it sets the order, and so the work, and never the result.
 A large group of near copies would have a square of pairs, and only components are asked for. So the first rounds compare
 neighbours alone (by size, then by a hash), at most one pair a row. The last round takes every pair that shares a
 prefix shingle, lies in two components so far and passes bounds that no linked pair can fail (sizes, places of the
-shingle, and differing bits of 1,024 parities). Before whole sets meet, parities of four bits a shingle do. Groups above HOT rows are split into pieces that meet in pairs.
+shingle, and differing bits of 1,024 parities). Before whole sets meet, parities of a bit a shingle do. Groups above HOT rows are split into pieces that meet in pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ SAMPLE, COMMON, RANKED = 4000, 3, 100_000
 HOT = 4000
 FEW = 16
 PARITIES = 1024
+#: Least blocks of nodes that pairs are checked in, bytes of rows in a block, and pairs of two blocks.
+BLOCKS, BLOCK_BYTES, BLOCK_PAIRS = 16, 16_000_000, 200_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -75,8 +78,9 @@ def parities(found: np.ndarray) -> list[int]:
 
 
 def wide_parities(found: np.ndarray) -> bytes:
-    """As parities(), over four bits or more for each shingle, a power of two of them."""
-    bits = 1 << max(PARITIES.bit_length() - 1, int(4 * len(found)).bit_length())
+    """As parities(), over a bit or more for each shingle, a power of two of them. Of sets that share little, about
+    half a bit a shingle differs; of near ones, less than a quarter."""
+    bits = 1 << max(PARITIES.bit_length() - 1, len(found).bit_length())
     counts = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -156,44 +160,42 @@ def candidates(rows: DataFrame, parity: DataFrame) -> DataFrame:
     return paired.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(common.lean(search), "a long, b long").distinct()
 
 
-def _side_by_side(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b and, as left and right, the columns of rows (node, ...) for both nodes of each stored pair.
+def _met(pairs: DataFrame, rows: DataFrame, held, keep) -> DataFrame:
+    """The stored pairs of a, b that keep(row of a, row of b) is true of; rows: node and what keep reads, stored.
 
-    The pairs, a few numbers each, go to the rows; what the rows hold moves once, to meet its other side.
+    Nodes are dealt into blocks, and a task meets the pairs of two blocks with the rows of both. So a row moves at most
+    twice for each block, however many pairs it stands in. held: a row's bytes, which tell how many blocks there are.
     """
-    side = lambda c, k: F.struct("a", "b", F.col(c).alias("node"), F.lit(k).alias("side"))
-    ends = common.stored(pairs.select(F.explode(F.array(side("a", 0), side("b", 1))).alias("e")).select("e.*"), "near-ends")
-    met = rows.select("node", F.struct(*columns).alias("own")).join(common.small(ends), "node")
-    pick = lambda k: F.max(F.when(F.col("side") == k, F.col("own")))
-    return met.groupBy("a", "b").agg(pick(0).alias("left"), pick(1).alias("right"))
+    blocks = max(BLOCKS, -(-int(rows.agg(F.sum(held)).first()[0] or 0) // BLOCK_BYTES), math.isqrt(pairs.count() // BLOCK_PAIRS))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.select("a", "b", of("a").alias("x"), of("b").alias("y"))
+    wanted = common.stored(dealt.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+
+    def meet(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        read = dict(zip(own["node"], own.drop(columns=["node", "x", "y"]).itertuples(index=False, name=None)))
+        return some.loc[np.array([keep(read[a], read[b]) for a, b in zip(some["a"], some["b"])], bool), ["a", "b"]]
+
+    sent = rows.join(common.small(wanted), "node")
+    return dealt.groupBy("x", "y").cogroup(sent.groupBy("x", "y")).applyInPandas(meet, "a long, b long")
 
 
 def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs of a, b whose wide parities differ in no more bits than near sets of their sizes can; marks: node, n, wide."""
     pairs = common.stored(pairs, "near-candidates")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = [9 * differing(x, y) <= m + n for x, y, m, n in zip(b["x"], b["y"], b["m"], b["n"])]
-            yield b.loc[np.array(keep, bool), ["a", "b"]]
-
-    both = _side_by_side(pairs, marks, ["n", "wide"]).select("a", "b", F.col("left.wide").alias("x"), F.col("right.wide").alias("y"), F.col("left.n").alias("m"), F.col("right.n").alias("n"))
-    return common.stored(both.mapInPandas(common.lean(run), "a long, b long"), "near-pairs", [pairs])
+    ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ends")
+    rows = common.stored(marks.select("node", "n", "wide").join(common.small(ends), "node", "left_semi"), "near-wide", [ends])
+    found = _met(pairs, rows, F.length("wide"), lambda x, y: 9 * differing(x[1], y[1]) <= x[0] + y[0])
+    return common.stored(found, "near-pairs", [pairs, rows])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The stored pairs whose whole sets (rows node, found) are near."""
+    """The stored pairs whose whole sets (stored rows node, found) are near."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(near(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-            yield b.loc[np.array(keep, bool), ["a", "b"]]
+    def keep(x: tuple, y: tuple) -> bool:
+        x, y = np.frombuffer(x[0], np.uint64), np.frombuffer(y[0], np.uint64)
+        return near(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
 
-    both = _side_by_side(pairs, sets, ["found"]).select("a", "b", F.col("left.found").alias("x"), F.col("right.found").alias("y"))
-    return both.mapInPandas(common.lean(run), "a long, b long")
+    return _met(pairs, sets, F.length("found"), keep)
 
 
 def _marked(texts: DataFrame, carried: list[str], order) -> DataFrame:
@@ -251,8 +253,9 @@ def near_rows(docs: DataFrame) -> DataFrame:
         ends = common.stored(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ends")
         wanted = common.stored(marked.select("node", "digest", "file", F.col("at").alias("row")).join(common.small(ends), "node", "left_semi"), "near-wanted", [ends])
         texts = common.only_rows(docs.select("text"), wanted.select("file", "row"))
-        sets = texts.mapInPandas(common.lean(whole), "digest binary, found binary").join(common.small(wanted.select("digest", "node")), "digest").select("node", "found")
-        return common.stored(verified(found, sets), "near-links", [found, wanted])
+        made = texts.mapInPandas(common.lean(whole), "digest binary, found binary").join(common.small(wanted.select("digest", "node")), "digest")
+        sets = common.stored(made.select("node", "found"), "near-sets", [wanted])
+        return common.stored(verified(found, sets), "near-links", [found, sets])
 
     none = spark.createDataFrame([], "node long, __root long")
     rows = common.stored(rooted(first.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")), none, "n"), "near-shared")

@@ -501,3 +501,24 @@ def test_views_teach_each_other():
     model = quality_classifier.co_train(labelled, y, surest, rounds=3, per_round=100)
     assert all(m["rows"] and m["weight"] > 0.3 for m in model.marks)
     assert np.mean((model.probability(pool)[2] > 0.5) == (truth > 0.5)) > 0.97
+
+
+def test_near_pairs_move_a_row_a_few_times_however_many_pairs_it_is_in(spark, monkeypatch):
+    """Every pair of 120 nodes is checked, and a node's set moves at most twice for each block."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 3000 - 10 * (i % 60)], rng.integers(0, 2**63, 10 * (i % 60)).astype(np.uint64)])) for i in range(120)]
+    pairs = common.stored(spark.createDataFrame([(i, j) for i in range(120) for j in range(i + 1, 120)], "a long, b long"), "test-pairs")
+    near = [(i, j) for i in range(120) for j in range(i + 1, 120) if shingle_join.near(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))]
+    assert 1000 < len(near) < 7000
+    moved = []
+    stored = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, *a: moved.append((name, out := stored(df, name, *a))) or out)
+    monkeypatch.setattr(shingle_join, "BLOCKS", 4)
+    held = stored(spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, found binary"), "test-sets")
+    found = shingle_join.verified(pairs, held)
+    assert sorted(map(tuple, found.collect())) == near
+    times = dict(moved)["near-wanted"].groupBy("node").count().agg(F.max("count")).first()[0]
+    assert times <= 8  # of 119 pairs
+    marks = spark.createDataFrame([(i, len(s), bytearray(shingle_join.wide_parities(s))) for i, s in enumerate(sets)], "node long, n long, wide binary")
+    assert set(near) <= set(map(tuple, shingle_join.bounded(pairs, marks).collect()))
