@@ -1,15 +1,20 @@
-"""Near copies by exact Jaccard similarity of shingle sets, found by prefix filtering.
+"""Near copies by SimHash and vantage-point trees, checked by exact Jaccard similarity of shingle sets; prefix filtering
+finds the rest.
 
 Sets: the distinct XXH64 hashes (seed 42) of the text's five-word shingles, words as in simhash; fewer words: the
 whole sequence; no words: the empty set. Two texts link if |A & B| / |A | B| >= 4/5, in whole numbers and on the
 whole sets (of hashes; two shingles of one hash count as one). Equal sets are one node.
 
+SimHash: a set's fingerprint has the bits that over half of its hashes have. Fingerprints within RADIUS bits link by
+simhash's trees, equal ones too, and a link holds if the whole sets are near. At a similarity of 0.8 about ten of 64
+bits differ, where such trees prune nothing, so pairs beyond the radius that the contract links are left to the join:
+
 Candidates: all sets are ordered alike, rare shingles first. Sets that link share one of their first
 n - ceil(4n/5) + 1 shingles, so nothing is missed, whatever the order. A bounded sample of texts tells which
 shingles are common; it sets the order, and so the work, and never the result.
 
-A large group of near copies would have a square of pairs, and only components are asked for. So the first rounds compare
-neighbours alone (by size, then by a hash), at most one pair a row. The last round takes every pair that shares a
+A large group of near copies would have a square of pairs, and only components are asked for. So what
+SimHash has linked is one component already, and the join's first rounds compare neighbours alone (by size, then by a hash), at most one pair a row. The last round takes every pair that shares a
 prefix shingle, lies in two components so far and passes bounds that no linked pair can fail (sizes, places of the
 shingle, and differing bits of 1,024 parities). Before whole sets meet, parities of a bit a shingle do. Groups above HOT rows are split into pieces that meet in pairs.
 """
@@ -36,6 +41,8 @@ SAMPLE, COMMON, RANKED = 4000, 3, 100_000
 HOT = 4000
 FEW = 16
 PARITIES = 1024
+#: Differing bits within which fingerprints link.
+RADIUS = 2
 #: Least blocks of nodes that pairs are checked in, bytes of rows in a block, and pairs of two blocks.
 BLOCKS, BLOCK_BYTES, BLOCK_PAIRS = 16, 16_000_000, 200_000
 
@@ -59,6 +66,22 @@ def near(a: int, b: int, both: int) -> bool:
     return 5 * both >= 4 * (a + b - both)
 
 
+def fingerprint(found: np.ndarray) -> bytes:
+    """SimHash of a set of hashes."""
+    return simhash.majority(sum((simhash.votes(found[at : at + simhash.SLICE]) for at in range(0, len(found), simhash.SLICE)), np.zeros(64, np.int64)), len(found))
+
+
+def alike(prints: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes (rows node, fp) that connect all whose fingerprints link, by simhash's vantage-point trees."""
+    classes = common.stored(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "near-classes")
+    again = classes.where("n > 1").select("fp", "least")
+    equal = prints.join(again, "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    name = lambda c: classes.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c))
+    links = common.stored(simhash.links(classes.select("fp"), RADIUS).toDF("fp_a", "fp_b"), "near-fp-links")
+    close = links.join(name("a"), "fp_a").join(name("b"), "fp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(close).distinct()
+
+
 def prefix(found: np.ndarray, ranked: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles in the order of all texts; ranked is ascending, and rank grows with how common each is."""
     n = len(found)
@@ -199,7 +222,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _marked(texts: DataFrame, carried: list[str], order) -> DataFrame:
-    """carried columns of texts, whatever their types, with digest, n, parity, wide parity and prefix of each text's set."""
+    """carried columns of texts, whatever their types, with digest, n, fingerprint, parity, wide parity and prefix of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,13 +230,14 @@ def _marked(texts: DataFrame, carried: list[str], order) -> DataFrame:
             new = [
                 pa.array([hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in made], pa.binary()),
                 pa.array([len(f) for f in made], pa.int64()),
+                pa.array([fingerprint(f) for f in made], pa.binary()),
                 pa.array([parities(f) for f in made], pa.list_(pa.int64())),
                 pa.array([wide_parities(f) for f in made], pa.binary()),
                 pa.array([prefix(f, *order.value).view(np.int64) for f in made], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], *new], [*carried, "digest", "n", "parity", "wide", "prefix"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], *new], [*carried, "digest", "n", "fp", "parity", "wide", "prefix"])
 
-    schema = texts.select(*carried).schema.add("digest", "binary").add("n", "long").add("parity", ArrayType(LongType())).add("wide", "binary").add("prefix", ArrayType(LongType()))
+    schema = texts.select(*carried).schema.add("digest", "binary").add("n", "long").add("fp", "binary").add("parity", ArrayType(LongType())).add("wide", "binary").add("prefix", ArrayType(LongType()))
     return texts.select(*carried, F.col("text").alias("__rl_text")).mapInArrow(common.lean(run), schema)
 
 
@@ -257,15 +281,15 @@ def near_rows(docs: DataFrame) -> DataFrame:
         sets = common.stored(made.select("node", "found"), "near-sets", [wanted])
         return common.stored(verified(found, sets), "near-links", [found, sets])
 
-    none = spark.createDataFrame([], "node long, __root long")
-    rows = common.stored(rooted(first.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")), none, "n"), "near-shared")
-    edges = linked(pairs(rows))
-    for last in (False, True):
+    edges = linked(alike(first.select("node", "fp")))
+    rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    by_hash = F.xxhash64("node")
+    for k, order in enumerate(("n", by_hash, by_hash)):
         roots = common.small(common.stored(simhash.components(edges).withColumnRenamed("root", "__root"), "near-roots"))
-        rows = common.stored(rooted(rows, roots, F.xxhash64("node")), "near-rooted", [rows])
+        rows = common.stored(rooted(rows, roots, order), "near-rooted", [rows] if k else [])
         if rows.isEmpty():
             break
-        more = linked(candidates(rows, first.select("node", "parity")) if last else pairs(rows))
+        more = linked(candidates(rows, first.select("node", "parity")) if k == 2 else pairs(rows))
         edges = common.stored(edges.unionByName(more), "near-edges", [edges, more])
     roots = common.small(common.stored(simhash.components(edges).withColumnRenamed("root", "__root"), "near-roots"))
     named = marked.select("doc_id", "file", F.col("at").alias("row"), "node").join(again, F.col("node") == F.col("again"), "left").withColumn("node", F.coalesce("of", "node"))

@@ -65,12 +65,24 @@ def sketch(text: str | None, width: int = 3, blocks: int = 1) -> bytes:
     for at in range(0, n, SLICE):
         to = min(at + SLICE, n)
         hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), ends[at + span : to + span].tolist())), np.uint64, to - at)
-        for block in range(blocks):
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for part in range(0, len(bits), 255):  # bytes can't overflow within 255 rows
-                ones[64 * block : 64 * block + 64] += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
-            if block + 1 < blocks:
-                hashes = _mixed(hashes)
+        ones += votes(hashes, blocks)
+    return majority(ones, n)
+
+
+def votes(hashes: np.ndarray, blocks: int = 1) -> np.ndarray:
+    """How many of the hashes, SLICE at most, have each bit set."""
+    ones = np.zeros(64 * blocks, np.int64)
+    for block in range(blocks):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for part in range(0, len(bits), 255):  # bytes can't overflow within 255 rows
+            ones[64 * block : 64 * block + 64] += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+        if block + 1 < blocks:
+            hashes = _mixed(hashes)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> bytes:
+    """The fingerprint: bits set in over half of n hashes."""
     return np.packbits(ones * 2 > n, bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
@@ -328,8 +340,8 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 1
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs but for all but one of each component: the smallest doc_id stays (null last), then the first row.
 
-    Components are those of shingle_join (five words, Jaccard similarity 0.8). Rows are told apart by their
-    place, so that ids may repeat or be null.
+    Components are those of shingle_join (SimHash links, checked by five-word shingles at a Jaccard similarity of 0.8, and
+    an exact join for the rest). Rows are told apart by their place, so that ids may repeat or be null.
     """
     from . import shingle_join  # it builds on this module
 

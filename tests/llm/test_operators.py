@@ -522,3 +522,34 @@ def test_near_pairs_move_a_row_a_few_times_however_many_pairs_it_is_in(spark, mo
     assert times <= 8  # of 119 pairs
     marks = spark.createDataFrame([(i, len(s), bytearray(shingle_join.wide_parities(s))) for i, s in enumerate(sets)], "node long, n long, wide binary")
     assert set(near) <= set(map(tuple, shingle_join.bounded(pairs, marks).collect()))
+
+
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """SimHash's links are searched, and checked; the join gets what they leave over."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(30):
+        words = [word() for _ in range(400)]
+        rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(words[:-1] + [word()])), (3 * g + 2, " ".join(words[:365] + [word() for _ in range(35)]))]
+    sets = {i: shingle_join.shingles(t) for i, t in rows}
+    votes = {i: sum(((int(h) >> k & 1) for h in s), 0) for k in (7,) for i, s in sets.items()}
+    prints = {i: int.from_bytes(shingle_join.fingerprint(s), "big") for i, s in sets.items()}
+    assert all((prints[i] >> 7 & 1) == (2 * votes[i] > len(sets[i])) for i in sets)
+    close = {(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= shingle_join.RADIUS}
+    frame = spark.createDataFrame([(i, bytearray(shingle_join.fingerprint(s))) for i, s in sets.items()], "node long, fp binary")
+    found = {tuple(r) for r in shingle_join.alike(frame).collect()}
+    assert found <= close and len(found) >= 20
+    forests = [simhash.Forest(len(rows)) for _ in range(2)]
+    for forest, edges in zip(forests, (close, found)):
+        for a, b in edges:
+            forest.join(a, b)
+    assert [forests[0].find(i) for i in prints] == [forests[1].find(i) for i in prints]
+    # Pairs that fingerprints link need no join: without its rounds, they are still components.
+    monkeypatch.setattr(shingle_join, "prefix", lambda found, ranked, rank: found[:0])
+    component = {r["doc_id"]: r["component_id"] for r in shingle_join.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = simhash.Forest(len(rows))
+    for a, b in close:
+        if shingle_join.near(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
+            linked.join(a, b)
+    assert component == {i: linked.find(i) for i in component} and len(set(component.values())) <= 75
