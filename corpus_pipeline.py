@@ -29,12 +29,22 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
+def rested(stage):
+    """The stage, begun by executors that hold no garbage of the one before."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.rested(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", drop_bad),
-    ("exact dedup", drop_copies),
-    ("simhash near-dedup", drop_near_copies),
-    ("source mix", mix_sources),
-    ("sentencepiece", tokenise),
+    ("quality classifier", rested(drop_bad)),
+    ("exact dedup", rested(drop_copies)),
+    ("simhash near-dedup", rested(drop_near_copies)),
+    ("source mix", rested(mix_sources)),
+    ("sentencepiece", rested(tokenise)),
 ]
 
 

@@ -158,6 +158,12 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def rested(spark: SparkSession) -> None:
+    """Executors collect their garbage and give free heap back, which Python workers of the next stage need."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
