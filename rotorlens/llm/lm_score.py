@@ -1,17 +1,17 @@
 """Language-model scores with a hierarchical Pitman-Yor model, and a smoothed unigram base.
 
-Tokens: words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, then one end. A token's context is the word
-before it, if that is one of the WORDS most frequent training words (counted over the whole corpus); a rarer
-word stands for its kind, and the context is the pair of kinds of the two tokens before (start of text, ends a
-sentence, ends with another mark, or by length). Every context is a restaurant. Contexts whose last word is of one
-kind share a parent, the seven kinds share the root, and the root has a uniform base of all V training tokens and
-one unknown.
+Tokens: words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, then one end. A token's context is the token
+before it, whatever that is; before a text's first token stands an end. Every context is a restaurant. Contexts of one
+kind of word (an end, ends a sentence, ends with another mark, or by length) share a parent, the seven kinds share the
+root, and the root has a uniform base of all V training tokens and one unknown. A context that training texts don't
+have is an empty restaurant, which gives its parent's probabilities.
 
 Seating: a Chinese restaurant process, sampled by Gibbs sweeps. A dish (token) keeps all its tables in all
 restaurants in one place: the vocabulary is dealt by hash. A sweep takes customers of every dish in every
 restaurant from their tables, one after another, and seats each anew given all that stay, with the parent's
 probability; tables that open or close send customers to the parent or call them back. What a sweep knows of other
-dishes is the restaurants' totals of the sweep before. The predictive probabilities of the kept sweeps are averaged,
+dishes is the restaurants' totals of the sweep before: parts send those of their contexts to where a context's are added
+up, and get the sums back, so that nobody holds all contexts. The predictive probabilities of the kept sweeps are averaged,
 and their logarithm is the score.
 
 Texts are turned into blocks of token numbers once. A block asks the vocabulary for its distinct (token,
@@ -26,7 +26,7 @@ tokens: every token has the uniform probability; other columns are never read.
 from __future__ import annotations
 
 import json
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +38,6 @@ from . import common
 
 CLASSES = 7
 PAIRS = CLASSES * CLASSES
-#: Words that have a restaurant of their own as contexts: a parameter of the model, so that all restaurants' totals
-#: (a few numbers each) are bounded whatever the corpus.
-WORDS = 4096
 #: Customers of each dish in each restaurant that a sweep seats anew, one after another.
 STEPS = 4
 #: Requests of a part that are added up at a time.
@@ -49,7 +46,7 @@ END = b" "  # no word is a space
 #: Tokens in a block, bytes of a text that are split at once, and characters of the corpus for each vocabulary part.
 BLOCK = 2_000_000
 SLICE = 8_000_000
-PART_CHARS = 32_000_000
+PART_CHARS = 16_000_000
 SEED = 7
 #: Discounts and strength of root, class and context restaurants.
 DISCOUNT = (0.6, 0.75, 0.85)
@@ -57,7 +54,7 @@ STRENGTH = (1.0, 5.0, 20.0)
 
 
 def word_class(word: bytes) -> int:
-    """1-6; 0 is the start of a text."""
+    """1-6; 0 is an end."""
     last = word[-1]
     if last in b".!?":
         return 1
@@ -95,58 +92,38 @@ class Block:
         self.names.append(name)
         self.size += len(words)
 
-    def closed(self, block: int, parts: int, top: Contexts, before: tuple[int, int, int]) -> tuple[list[tuple], tuple[int, int, int]]:
-        """Rows (block, part, docs, a, b, c): part -1 has the documents and the pair of each token; others ask
-        for pairs: hashes of words, contexts per word, and (context, count) of each pair. before: the classes of
-        the two tokens that precede the block's first piece, if that continues a document, and the context that
-        the last of them is."""
+    def closed(self, block: int, parts: int, before: tuple[int, int]) -> tuple[list[tuple], tuple[int, int]]:
+        """Rows (block, part, a, b, c, d, e): part -1 has the documents and the pair of each token; others ask for pairs,
+        as _asking() has them. before: hash and kind of the token before the block's first."""
         import zstandard
 
         words = list(self.index)
         hashes = _hashes(words)
-        kind = np.fromiter((word_class(w) if w != END else 0 for w in words), np.int64, len(words))
-        own = top.of(hashes)
+        kind = np.fromiter((word_class(w) if w != END else 0 for w in words), np.uint8, len(words))
         lengths = np.array([len(i) for i in self.ids])
         ids = np.concatenate(self.ids)
-        cls = kind[ids]
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        # A piece starts a text unless it goes on with the document of the piece before it.
-        docs = np.array([d for d, _ in self.docs])
-        fresh = np.concatenate(([True], docs[1:] != docs[:-1]))
-        k1, k2 = np.concatenate(([0], cls[:-1])), np.concatenate(([0, 0], cls[:-2]))[: len(cls)]
-        last = np.concatenate(([-1], own[ids[:-1]]))
-        if before != FIRST:
-            fresh[0] = False
-            k1[0], k2[0], last[0] = before[1], before[0], before[2]
-            if len(k2) > 1:
-                k2[1] = before[1]
-        first = starts[fresh & (lengths > 0)]
-        k1[first] = 0
-        k2[first] = 0
-        last[first] = -1
-        second = first[(first + 1 < len(cls))] + 1
-        k2[second] = 0
-        context = np.where(last >= 0, last, k2 * CLASSES + k1)
+        # A text's first token follows the end of the text before it.
+        known, first, number = np.unique(np.append(hashes, np.uint64(before[0])), return_index=True, return_inverse=True)
+        kinds = np.append(kind, np.uint8(before[1]))[first]
+        context = number[np.concatenate(([len(words)], ids[:-1]))]
         part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((hashes, part))  # by part, then hash
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        pairs, of = np.unique(rank[ids] * top.size + context, return_inverse=True)
+        pairs, of = np.unique(rank[ids] * len(known) + context, return_inverse=True)
         held = np.repeat(np.array([h for _, h in self.docs]), lengths)
         counts = np.bincount(of[~held], minlength=len(pairs)).astype(np.int64)
-        rows = [(block, -1, np.array(self.docs, np.int64).tobytes(), zstandard.compress(of.astype(np.uint32).tobytes(), 1), lengths.astype(np.int64).tobytes(), json.dumps(self.names).encode())]
-        word_of, context = pairs // top.size, pairs % top.size
+        rows = [(block, -1, np.array(self.docs, np.int64).tobytes(), zstandard.compress(of.astype(np.uint32).tobytes(), 1), lengths.astype(np.int64).tobytes(), json.dumps(self.names).encode(), None)]
+        word_of, context = pairs // len(known), pairs % len(known)
         part_of = part[order][word_of]
         bounds = np.searchsorted(part_of, np.arange(parts + 1))
         for p in range(parts):
             a, b = bounds[p], bounds[p + 1]
             if a < b:
                 asked, n = np.unique(word_of[a:b], return_counts=True)
-                rows.append((block, p, *_asking(hashes[order][asked], n, context[a:b], counts[a:b])))
-        return rows, (int(k1[-1]), int(cls[-1]), int(own[ids[-1]])) if len(cls) else before
-
-
-FIRST = (0, 0, -1)
+                met, own = np.unique(context[a:b], return_inverse=True)
+                rows.append((block, p, *_asking(hashes[order][asked], n, own, counts[a:b], known[met], kinds[met])))
+        return rows, (int(hashes[ids[-1]]), int(kind[ids[-1]]))
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -156,81 +133,35 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Contexts:
-    """Numbers of all contexts: pairs of classes first, then the frequent words by hash."""
+    """Numbers of some contexts: words by hash, from PAIRS on. The numbers before are pairs of kinds, for models that have
+    such contexts; in score() every word is a context of its own and these restaurants stay empty."""
 
     def __init__(self, hashes: np.ndarray, kinds: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.size = hashes[order], PAIRS + len(hashes)
-        #: The class that a context's last word is of.
+        #: The class of each context's word.
         self.parent = np.concatenate((np.arange(PAIRS) % CLASSES, kinds[order])).astype(np.int64)
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """The contexts that words are as the last word; -1 for words without one of their own."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + PAIRS, -1)
-
 
-def _asking(hashes: np.ndarray, n: np.ndarray, context: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+def _asking(hashes: np.ndarray, n: np.ndarray, context: np.ndarray, counts: np.ndarray, known: np.ndarray, kinds: np.ndarray) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+    """Hashes of words, the number of pairs of each, context and count of each pair, and hashes and kinds of the contexts."""
     import zstandard
 
     packed = lambda x, kind: zstandard.compress(x.astype(kind).tobytes(), 1)
-    return hashes.tobytes(), packed(n, np.uint16), packed(context, np.uint16), packed(counts, np.uint64)
-
-
-def frequent_words(named: DataFrame, parts: int, most: int) -> Contexts:
-    """The `most` words that training texts have most often, of equal ones those of the least hashes."""
+    return hashes.tobytes(), packed(n, np.uint32), packed(context, np.uint32), packed(counts, np.uint64), known.astype(np.uint64).tobytes() + kinds.astype(np.uint8).tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, size = Counter(), 0
-
-        def rows() -> pd.DataFrame:
-            words = list(seen)
-            hashes, counts = _hashes(words), np.fromiter(seen.values(), np.int64, len(seen))
-            kind = np.fromiter(map(word_class, words), np.uint8, len(words))
-            part = (hashes % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            cut = [(p, order[a:b]) for p, a, b in zip(range(parts), bounds, bounds[1:]) if a < b]
-            return pd.DataFrame([(p, hashes[i].tobytes(), counts[i].tobytes(), kind[i].tobytes()) for p, i in cut], columns=["part", "hashes", "counts", "kinds"])
 
-        for b in batches:
-            for text in b["text"]:
-                for words in slices(text):
-                    seen.update(words)
-                    size += len(words)
-                    if size >= BLOCK:
-                        yield rows()
-                        seen, size = Counter(), 0
-        if seen:
-            yield rows()
-
-    def add(key, b: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in b[c]])
-        hashes, first, of = np.unique(read("hashes", np.uint64), return_index=True, return_inverse=True)
-        counts = np.bincount(of, read("counts", np.int64)).astype(np.int64)
-        best = np.lexsort((hashes, -counts))[:most]
-        return pd.DataFrame({"hash": hashes[best].view(np.int64), "n": counts[best], "kind": read("kinds", np.uint8)[first][best].astype(np.int32)})
+BLOCK_SCHEMA = "block long, part long, a binary, b binary, c binary, d binary, e binary"
 
-    made = named.where("NOT held").select("text").mapInPandas(common.lean(run), "part long, hashes binary, counts binary, kinds binary")
-    counted = common.stored(made.groupBy("part").applyInPandas(add, "hash long, n long, kind int"), "lm-words")
-    rows = counted.orderBy(F.desc("n"), F.conv(F.hex("hash"), 16, 10).cast("decimal(20,0)")).limit(most).collect()  # `most` numbers
-    common.drop(counted)
-    return Contexts(np.array([r["hash"] for r in rows], np.int64).view(np.uint64), np.array([r["kind"] for r in rows], np.int64))
 
-
-BLOCK_SCHEMA = "block long, part long, a binary, b binary, c binary, d binary"
-
-
-def blocks(docs: DataFrame, parts: int, contexts) -> DataFrame:
+def blocks(docs: DataFrame, parts: int) -> DataFrame:
     """Block rows and requests, from rows (doc_id as a string, held, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        number, top = TaskContext.get().partitionId() << 32, contexts.value
-        block, before, row = Block(), FIRST, number
+        number = TaskContext.get().partitionId() << 32
+        block, before, row = Block(), (int(_hashes([END])[0]), 0), number
         columns = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
         for b in batches:
             for name, held, text in zip(b["doc_id"].tolist(), b["held"].tolist(), b["text"].tolist()):
@@ -238,19 +169,12 @@ def blocks(docs: DataFrame, parts: int, contexts) -> DataFrame:
                 for words in slices(text):
                     block.add(row, held, name, words)
                     if block.size >= BLOCK:
-                        rows, before = block.closed(number, parts, top, before)
+                        rows, before = block.closed(number, parts, before)
                         yield pd.DataFrame(rows, columns=columns)
                         number, block = number + 1, Block()
-                if not block.size:  # the text goes on over the block's end, with its end token at least
-                    block.add(row, held, name, [END])
-                    rows, before = block.closed(number, parts, top, before)
-                    yield pd.DataFrame(rows, columns=columns)
-                    number, block = number + 1, Block()
-                else:
-                    block.add(row, held, name, [END])
-                before = FIRST if not block.size else before
+                block.add(row, held, name, [END])
         if block.size:
-            yield pd.DataFrame(block.closed(number, parts, top, before)[0], columns=columns)
+            yield pd.DataFrame(block.closed(number, parts, before)[0], columns=columns)
 
     return docs.mapInPandas(common.lean(run), BLOCK_SCHEMA)
 
@@ -383,6 +307,11 @@ class Vocabulary:
             [self.count.sum(), (known > 0).sum()],
         ))
 
+    def of_contexts(self) -> np.ndarray:
+        """Where the words' customers as contexts, and then their tables, stand in the totals."""
+        at = 1 + CLASSES + np.arange(PAIRS, self.contexts.size)
+        return np.concatenate((at, 1 + CLASSES + self.contexts.size + at))
+
     def probabilities(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P of each dish in the root, of each (dish, class) and of each (dish, context)."""
         n = 1 + CLASSES + self.contexts.size
@@ -420,7 +349,7 @@ class Vocabulary:
             setattr(self, name, tables)
 
 
-ARRAYS = {"hashes": np.uint64, "word": np.uint32, "context": np.uint16, "count": np.int64, "mean": np.float32}
+ARRAYS = {"hashes": np.uint64, "word": np.uint32, "context": np.uint32, "count": np.int64, "mean": np.float32, "known": np.uint64, "kinds": np.uint8}
 LEVELS = ("leaf", "middle", "root")
 STATE_SCHEMA = "part long, totals array<double>, " + ", ".join(f"{k} binary" for k in (*ARRAYS, *(f"{x}_{y}" for x in LEVELS for y in ("t", "sizes"))))
 
@@ -429,19 +358,20 @@ def _state_row(part: int, v: Vocabulary, mean: np.ndarray) -> pd.DataFrame:
     import zstandard
 
     pack = lambda x, kind: zstandard.compress(x.astype(kind).tobytes(), 1)
-    arrays = {k: pack(mean if k == "mean" else getattr(v, k), kind) for k, kind in ARRAYS.items()}
+    own = {"mean": mean, "known": v.contexts.hashes, "kinds": v.contexts.parent[PAIRS:]}
+    arrays = {k: pack(own[k] if k in own else getattr(v, k), kind) for k, kind in ARRAYS.items()}
     for level in LEVELS:
         tables = getattr(v, level)
         arrays |= {f"{level}_t": pack(tables.t, np.int64), f"{level}_sizes": pack(tables.sizes, np.int64)}
-    return pd.DataFrame([{"part": part, "totals": v.totals().astype(float), **arrays}])
+    return pd.DataFrame([{"part": part, "totals": np.delete(v.totals(), v.of_contexts()).astype(float), **arrays}])
 
 
-def _state_of(r: dict, contexts: Contexts) -> tuple[Vocabulary, np.ndarray]:
+def _state_of(r: dict) -> tuple[Vocabulary, np.ndarray]:
     import zstandard
 
     read = lambda k, kind: np.frombuffer(zstandard.decompress(r[k]), kind).copy()
     a = {k: read(k, kind) for k, kind in ARRAYS.items()}
-    v = Vocabulary(contexts, a["hashes"], a["word"].astype(np.int64), a["context"], a["count"])
+    v = Vocabulary(Contexts(a["known"], a["kinds"]), a["hashes"], a["word"].astype(np.int64), a["context"], a["count"])
     c = v.count
     for level, of, n in (("leaf", None, 0), ("middle", v.mid_of, len(v.mid)), ("root", v.mid_word, len(v.hashes))):
         t = read(f"{level}_t", np.int64)
@@ -450,24 +380,26 @@ def _state_of(r: dict, contexts: Contexts) -> tuple[Vocabulary, np.ndarray]:
     return v, a["mean"].astype(float)
 
 
-def _request(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a request's words, the number of pairs of each, and context and count of each pair."""
+def _request(r) -> tuple[np.ndarray, ...]:
+    """What _asking() was given: hashes, pairs of each, context and count of each pair, the contexts' hashes and kinds."""
     import zstandard
 
     read = lambda k, kind: np.frombuffer(zstandard.decompress(r[k]), kind)
     counts = read("d", np.uint64).astype(np.int64) if r["d"] is not None else np.zeros(0, np.int64)  # an answer needs none
-    return np.frombuffer(r["a"], np.uint64), read("b", np.uint16).astype(np.int64), read("c", np.uint16).astype(np.int64), counts
+    n = len(r["e"]) // 9
+    return np.frombuffer(r["a"], np.uint64), read("b", np.uint32).astype(np.int64), read("c", np.uint32).astype(np.int64), counts, np.frombuffer(r["e"][: 8 * n], np.uint64), np.frombuffer(r["e"][8 * n :], np.uint8)
 
 
-def _sum_of(requests: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, and word, context and count of the pairs of some requests to one part."""
+def _sum_of(requests: list[dict]) -> tuple[np.ndarray, ...]:
+    """Hashes, word, context and count of the pairs of some requests to one part, and the contexts' hashes and kinds."""
     asked = [_request(r) for r in requests]
     hashes, word = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
     word = np.repeat(word, np.concatenate([x[1] for x in asked]))
-    wide = 1 << 16
-    pairs, of = np.unique(word * wide + np.concatenate([x[2] for x in asked]), return_inverse=True)
+    known, first, number = np.unique(np.concatenate([x[4] for x in asked]), return_index=True, return_inverse=True)
+    starts = np.cumsum([0, *[len(x[4]) for x in asked]])
+    pairs, of = np.unique(word * len(known) + number[np.concatenate([x[2] + at for x, at in zip(asked, starts)])], return_inverse=True)
     count = np.bincount(of, np.concatenate([x[3] for x in asked]), len(pairs)).astype(np.int64)
-    return hashes, pairs // wide, pairs % wide, count
+    return hashes, pairs // len(known), pairs % len(known), count, known, np.concatenate([x[5] for x in asked])[first]
 
 
 def _added_up(requests: DataFrame, blocks: int) -> DataFrame:
@@ -475,99 +407,146 @@ def _added_up(requests: DataFrame, blocks: int) -> DataFrame:
     holds a part's requests of all blocks, however many there are."""
 
     def add(key, b: pd.DataFrame) -> pd.DataFrame:
-        hashes, word, context, count = _sum_of(b[["a", "b", "c", "d"]].to_dict("records"))
-        return pd.DataFrame([(key[0], key[1], *_asking(hashes, np.bincount(word, minlength=len(hashes)), context, count))], columns=["part", "block", "a", "b", "c", "d"])
+        hashes, word, *rest = _sum_of(b[list("abcde")].to_dict("records"))
+        return pd.DataFrame([(key[0], key[1], *_asking(hashes, np.bincount(word, minlength=len(hashes)), *rest))], columns=["part", "block", *"abcde"])
 
-    summed = requests.select("part", F.xxhash64("block").alias("block"), "a", "b", "c", "d")
+    summed = requests.select("part", F.xxhash64("block").alias("block"), *"abcde")
     groups = -(-max(1, blocks) // FAN)
     while True:
         grouped = summed.withColumn("block", F.pmod("block", F.lit(groups)))
-        summed = common.stored(grouped.groupBy("part", "block").applyInPandas(add, "part long, block long, a binary, b binary, c binary, d binary"), "lm-sums", [summed] if summed.inputFiles() and "lm-sums" in summed.inputFiles()[0] else [])
+        summed = common.stored(grouped.groupBy("part", "block").applyInPandas(add, "part long, block long, a binary, b binary, c binary, d binary, e binary"), "lm-sums", [summed] if summed.inputFiles() and "lm-sums" in summed.inputFiles()[0] else [])
         if groups == 1:
             return summed
         groups = -(-groups // FAN)
 
 
-def _opened(sums: DataFrame, contexts) -> DataFrame:
+def _opened(sums: DataFrame) -> DataFrame:
     """The parts' vocabularies. Pairs that were only asked for are there with count 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.to_dict("records"):
-                hashes, word, context, count = _sum_of([r])
-                yield _state_row(r["part"], Vocabulary(contexts.value, hashes, word, context, count), np.zeros(len(count)))
+                hashes, word, context, count, known, kinds = _sum_of([r])
+                yield _state_row(r["part"], Vocabulary(Contexts(known, kinds), hashes, word, context + PAIRS, count), np.zeros(len(count)))
 
     return sums.mapInPandas(common.lean(run), STATE_SCHEMA)
 
 
-def _added(state: DataFrame, n: int) -> np.ndarray:
-    """Sum of the parts' totals: two numbers a restaurant, added up in Spark."""
-    sums = state.select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(n)
-    for r in sums:
-        out[r["i"]] = r["x"]
+def _added(state: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
+    """The sums of the parts' totals: rows (part, bucket, seats) with customers and tables of the part's contexts, and the
+    few numbers that all parts share, added up in Spark."""
+    import zstandard
+
+    sums = {r["i"]: r["x"] for r in state.select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()}
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.to_dict("records"):
+                v, _ = _state_of(r)
+                seats = v.totals()[v.of_contexts()].astype(np.int64).reshape(2, -1)
+                bucket = (v.contexts.hashes % np.uint64(parts)).astype(np.int64)
+                for k in np.unique(bucket):
+                    at = bucket == k
+                    yield pd.DataFrame([(int(k), r["part"], v.contexts.hashes[at].tobytes(), zstandard.compress(seats[:, at].tobytes(), 1))], columns=["bucket", "part", "known", "seats"])
+
+    def add(key, b: pd.DataFrame) -> pd.DataFrame:
+        known = [np.frombuffer(x, np.uint64) for x in b["known"]]
+        _, of = np.unique(np.concatenate(known), return_inverse=True)
+        seats = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64).reshape(2, -1) for x in b["seats"]], axis=1)
+        whole = np.stack([np.bincount(of, x) for x in seats]).astype(np.int64)[:, of]
+        ends = np.cumsum([len(x) for x in known])
+        return pd.DataFrame({"part": b["part"], "bucket": b["bucket"], "seats": [zstandard.compress(whole[:, e - len(x) : e].tobytes(), 1) for x, e in zip(known, ends)]})
+
+    asked = state.mapInPandas(common.lean(sent), "bucket long, part long, known binary, seats binary")
+    return common.stored(asked.groupBy("bucket").applyInPandas(add, "part long, bucket long, seats binary"), "lm-totals"), np.array([sums.get(i, 0.0) for i in range(2 * (1 + CLASSES + PAIRS) + 2)])
+
+
+def _totals_of(v: Vocabulary, shared: np.ndarray, rows: pd.DataFrame, parts: int) -> np.ndarray:
+    """All totals that a part needs, in the order of Vocabulary.totals()."""
+    import zstandard
+
+    out = np.zeros(len(shared) + 2 * len(v.contexts.hashes))
+    at = v.of_contexts()
+    out[np.delete(np.arange(len(out)), at)] = shared
+    bucket = (v.contexts.hashes % np.uint64(parts)).astype(np.int64)
+    seats = out[at].reshape(2, -1)
+    for k, x in zip(rows["bucket"], rows["seats"]):
+        seats[:, bucket == k] = np.frombuffer(zstandard.decompress(x), np.int64).reshape(2, -1)
+    out[at] = seats.ravel()
     return out
 
 
-def _swept(state: DataFrame, contexts, totals, sweep: int, keep: bool) -> DataFrame:
+def _with_totals(state: DataFrame, totals: tuple[DataFrame, np.ndarray], parts: int, made, schema: str) -> DataFrame:
+    """made(part, vocabulary, mean, totals) of every part."""
+    shared = totals[1]
+
+    def run(key, held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        v, mean = _state_of(held.iloc[0].to_dict())
+        return made(int(key[0]), v, mean, _totals_of(v, shared, rows, parts))
+
+    return state.groupBy("part").cogroup(totals[0].groupBy("part")).applyInPandas(run, schema)
+
+
+def _swept(state: DataFrame, totals: tuple[DataFrame, np.ndarray], parts: int, sweep: int, keep: bool) -> DataFrame:
     """The next sweep; keep adds the current seating's predictive probabilities to the mean first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.to_dict("records"):
-                v, mean = _state_of(r, contexts.value)
-                if keep:
-                    mean = mean + v.probabilities(totals.value)[2]
-                v.sweep(totals.value, np.random.default_rng([SEED, sweep, int(r["part"])]), first=sweep == 0)
-                yield _state_row(r["part"], v, mean)
+    def made(part: int, v: Vocabulary, mean: np.ndarray, all_totals: np.ndarray) -> pd.DataFrame:
+        if keep:
+            mean = mean + v.probabilities(all_totals)[2]
+        v.sweep(all_totals, np.random.default_rng([SEED, sweep, part]), first=sweep == 0)
+        return _state_row(part, v, mean)
 
-    return state.mapInPandas(common.lean(run), STATE_SCHEMA)
+    return _with_totals(state, totals, parts, made, STATE_SCHEMA)
 
 
-def score(docs: DataFrame, burn_in: int = 2, samples: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def score(docs: DataFrame, burn_in: int = 2, samples: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
-    share = docs.sparkSession.sparkContext.broadcast
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     named = docs.select(F.col(id_col).cast("string").alias("doc_id"), (F.crc32(name) % 5 == 1).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     parts = max(8, int(chars // PART_CHARS) + 1)
-    contexts = share(frequent_words(named, parts, words))
-    n_totals = 2 * (1 + CLASSES + contexts.value.size) + 2
-    kept = common.stored(blocks(named, parts, contexts), "lm-blocks")  # numbers rows once and for all
-    requests, bodies = kept.where("part >= 0").select("block", "part", "a", "b", "c", "d"), kept.where("part = -1").select("block", "a", "b", "c", "d")
+    kept = common.stored(blocks(named, parts), "lm-blocks")  # numbers rows once and for all
+    requests, bodies = kept.where("part >= 0").select("block", "part", *"abcde"), kept.where("part = -1").select("block", *"abcd")
     sums = _added_up(requests, bodies.count())
-    state = common.stored(_opened(sums, contexts), "lm-state", [sums])
-    totals = _added(state, n_totals)
+    state = common.stored(_opened(sums), "lm-state", [sums])
+    totals = _added(state, parts)
     for sweep in range(burn_in + samples):
-        swept = common.stored(_swept(state, contexts, share(totals), sweep, keep=sweep > burn_in), "lm-state", [state])
-        state, totals = swept, _added(swept, n_totals)
-    n, distinct, final = float(totals[-2]), float(totals[-1]), share(totals)
+        state = common.stored(_swept(state, totals, parts, sweep, keep=sweep > burn_in), "lm-state", [state, totals[0]])
+        totals = _added(state, parts)
+    n, distinct = (float(x) for x in totals[1][-2:])
+
+    def final(part: int, v: Vocabulary, mean: np.ndarray, all_totals: np.ndarray) -> pd.DataFrame:
+        import zstandard
+
+        # The last sweep's probabilities complete the mean.
+        logs = np.log10((mean + v.probabilities(all_totals)[2]) / samples)
+        arrays = (v.hashes, v.word * len(v.contexts.hashes) + v.context - PAIRS, v.contexts.hashes, logs.astype(np.float32), np.bincount(v.word, v.count, len(v.hashes)).astype(np.int64))
+        return pd.DataFrame([(part, *[zstandard.compress(x.tobytes(), 1) for x in arrays])], columns=["part", *"abcde"])
+
+    ended = common.stored(_with_totals(state, totals, parts, final, "part long, a binary, b binary, c binary, d binary, e binary"), "lm-final", [state, totals[0]])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by part, each part's state before its requests; one request is answered at a time."""
+        """Rows come sorted by part, each part's end before its requests; one request is answered at a time."""
         import zstandard
 
-        v = logs = known = keys = None
+        held = None
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                if r["hashes"] is not None:
-                    v, mean = _state_of(r, contexts.value)
-                    # The last sweep's probabilities complete the mean.
-                    logs = np.log10((mean + v.probabilities(final.value)[2]) / samples)
-                    known = np.bincount(v.word, v.count, len(v.hashes)).astype(np.int64)
-                    keys = v.word * contexts.value.size + v.context
+                if r["turn"] == 0:
+                    held = [np.frombuffer(zstandard.decompress(r[k]), kind) for k, kind in zip("abcde", (np.uint64, np.int64, np.uint64, np.float32, np.int64))]
                     continue
-                hashes, pairs, context, _ = _request(r)
-                word = np.repeat(np.searchsorted(v.hashes, hashes), pairs)
-                at = np.searchsorted(keys, word * contexts.value.size + context)
-                out.append((r["block"], r["part"], zstandard.compress(logs[at].astype(np.float32).tobytes(), 1), zstandard.compress(known[word].tobytes(), 1)))
+                words, keys, contexts, logs, known = held
+                hashes, pairs, context, _, own, _ = _request(r)
+                word = np.repeat(np.searchsorted(words, hashes), pairs)
+                at = np.searchsorted(keys, word * len(contexts) + np.searchsorted(contexts, own)[context])
+                out.append((r["block"], r["part"], zstandard.compress(logs[at].tobytes(), 1), zstandard.compress(known[word].tobytes(), 1)))
             yield pd.DataFrame(out, columns=["block", "part", "logs", "known"])
 
-    asked = requests.select("part", F.lit(1).alias("turn"), "block", "a", "b", "c", F.lit(None).cast("binary").alias("d"))
-    held = state.select("part", F.lit(0).alias("turn"), *[c for c in state.columns if c not in ("part", "totals")])
-    met = held.unionByName(asked, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "turn", "block")
-    answers = common.stored(met.mapInPandas(common.lean(answer), "block long, part long, logs binary, known binary"), "lm-answers", [state])
+    asked = requests.select("part", F.lit(1).alias("turn"), "block", "a", "b", "c", F.lit(None).cast("binary").alias("d"), "e")
+    held = ended.select("part", F.lit(0).alias("turn"), F.lit(-1).cast("long").alias("block"), *"abcde")
+    met = held.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "turn", "block")
+    answers = common.stored(met.mapInPandas(common.lean(answer), "block long, part long, logs binary, known binary"), "lm-answers", [ended])
 
     def add_up(key, body: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         import zstandard

@@ -553,3 +553,24 @@ def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
         if shingle_join.near(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
             linked.join(a, b)
     assert component == {i: linked.find(i) for i in component} and len(set(component.values())) <= 75
+
+
+def test_lm_rare_words_are_contexts_too(spark, monkeypatch):
+    """More words than were once contexts, each with its own follower: scores know the followers of all of them."""
+    monkeypatch.setattr(lm_score, "BLOCK", 40_000)
+    n = 6000
+    order = random.Random(2).sample(range(n), n)
+    follows = dict(zip(order, order[1:] + order[:1]))
+    at = {w: k for k, w in enumerate(order)}
+    rows = []
+    for i in range(200):
+        start = i * (n // 200)
+        rows.append((i, " ".join(f"w{order[(start + k) % n]:04d}" for k in range(240))))  # every word about eight times
+    held = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rng = random.Random(9)
+    for i in held:
+        start = rng.randrange(n)
+        rows.append((i, " ".join(f"w{order[(start + k) % n]:04d}" for k in range(60))))
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(follows) == len(at) == n and len(got) == len(rows)
+    assert np.mean([got[i]["score"] / 61 for i in held]) > -1.2  # one of 6,000 by chance: -3.8
