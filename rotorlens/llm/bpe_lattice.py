@@ -24,7 +24,7 @@ import numpy as np
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words in each of the two generations of the cache that a process keeps; twice as many pairs and word starts.
-CACHE = 80_000
+CACHE = 200_000
 
 
 class Model:

@@ -574,3 +574,15 @@ def test_lm_rare_words_are_contexts_too(spark, monkeypatch):
     got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(follows) == len(at) == n and len(got) == len(rows)
     assert np.mean([got[i]["score"] / 61 for i in held]) > -1.2  # one of 6,000 by chance: -3.8
+
+
+def test_codec_keeps_the_words_of_a_large_table(monkeypatch):
+    """Words that a table has again are looked up, not encoded again, some hundred thousand of them."""
+    with open(sentencepiece_codec.MODEL_PATH, "rb") as f:
+        model = bpe_lattice.Model(f.read())
+    made = collections.Counter()
+    monkeypatch.setattr(model, "word_path", lambda word: made.update([word]) or [])
+    for _ in range(2):
+        for k in range(180_000):
+            model.word(f"w{k}")
+    assert max(made.values()) == 1
