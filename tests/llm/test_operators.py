@@ -1,7 +1,9 @@
 import collections
 import math
+import os
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -454,6 +456,87 @@ def test_lm_knows_which_word_follows_which(spark, monkeypatch):
     assert np.mean(fluent) > np.mean(mixed) + 0.5 and np.mean(fluent) > -0.6
 
 
+def test_lm_blocks_do_not_grow_with_the_parts(spark, monkeypatch):
+    """What is stored of the texts names each word of a block once, however many parts the vocabulary has."""
+
+    class Stop(Exception):
+        pass
+
+    sizes, stored = [], common.stored
+
+    def watched(df, name, instead_of=()):
+        out = stored(df, name, instead_of)
+        sizes.append(sum(os.path.getsize(urllib.parse.unquote(urllib.parse.urlparse(f).path)) for f in out.inputFiles()))
+        raise Stop
+
+    monkeypatch.setattr(common, "stored", watched)
+    docs = common.table(spark, SMALL, "documents").coalesce(1)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    for parts in (8, 200):
+        monkeypatch.setattr(lm_score, "PART_CHARS", chars // parts)
+        with pytest.raises(Stop):
+            lm_score.score(docs)
+    assert sizes[1] < 1.02 * sizes[0]
+
+
+def test_lm_scores_are_the_same_however_many_parts_are_served_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 20_000)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    docs = common.table(spark, SMALL, "documents")
+    got = []
+    for served in (3, 100):
+        monkeypatch.setattr(lm_score, "SERVED", served)
+        got.append(sorted(lm_score.score(docs, burn_in=1, samples=1).collect(), key=str))
+    assert got[0] == got[1] and len(got[0]) == docs.count()
+
+
+def test_lm_requests_hold_every_pair():
+    """Requests of two blocks to all of 11 parts, some parts at a time, against counts by hand."""
+    rng, parts, want, rows, before = random.Random(4), 11, collections.Counter(), [], (int(lm_score._hashes([lm_score.END])[0]), 0)
+    last = lm_score.END
+    for number in range(2):
+        block = lm_score.Block()
+        for doc in range(30):
+            words = [b"w%d" % int(rng.paretovariate(0.7) % 5000) for _ in range(rng.randrange(60))]
+            # The second block has its own words only, so that the token before it is none of them.
+            words = [w + b"x" * number for w in words]
+            held = doc % 3 == 0
+            tail = [lm_score.END] if (number, doc) != (0, 29) else [b"last"]
+            for pair in zip([last, *words], words + tail):
+                want[pair] += not held
+            last = tail[-1]
+            block.add(doc, held, str(doc), words)
+            block.add(doc, held, str(doc), tail)
+        row, before = block.closed(number, before)
+        rows.append(dict(zip([x.split()[0] for x in lm_score.BLOCK_SCHEMA.split(", ")], row)))
+    name = {h: w for w in {w for pair in want for w in pair} for h in lm_score._hashes([w]).tolist()}
+    got = {}
+    for served in (range(0, 4), range(4, 5), range(5, 11)):
+        asked = collections.defaultdict(list)
+        for r in rows:
+            for part, *x in lm_score.Pairs(r, parts).requests(served, True):
+                asked[part].append(dict(zip("abcdef", x)))
+        assert set(asked) <= set(served)
+        for requests in asked.values():
+            hashes, word, context, count, known, kinds = lm_score._sum_of(requests)
+            assert kinds.tolist() == [lm_score.word_class(name[h]) if name[h] != lm_score.END else 0 for h in known.tolist()]
+            for w, k, n in zip(word, context, count):
+                got[name[int(known[k])], name[int(hashes[w])]] = int(n)
+    assert got == dict(want)
+
+
+def test_lm_tables_follow_at_once_where_few_dishes_move():
+    rng = np.random.default_rng(5)
+    c = rng.integers(0, 9, 3000)
+    tables = lm_score.Tables.started(c, np.minimum(c, 2), 0.7, rng)
+    to = c.copy()
+    to[17], to[18], to[2000] = 400, 0, 77
+    many = lambda x: np.full(3000, x)
+    tables.follow(to, many(5.0), many(0.05), 0.7, 2.0, rng)
+    assert (tables.c == to).all() and (tables.sizes > 0).all() and ((tables.t > 0) == (to > 0)).all()
+    assert (np.bincount(np.repeat(np.arange(3000), tables.t), tables.sizes, 3000) == to).all()
+
+
 def test_classifier_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
