@@ -50,8 +50,9 @@ END = b" "  # no word is a space
 BLOCK = 2_000_000
 SLICE = 8_000_000
 PART_CHARS = 16_000_000
-#: Parts that are served at a time, at least.
+#: Parts that are served at a time, at least, and turns in which all are served, at most: each turn reads every block.
 SERVED = 16
+TURNS = 4
 SEED = 7
 #: Discounts and strength of root, class and context restaurants.
 DISCOUNT = (0.6, 0.75, 0.85)
@@ -261,6 +262,13 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(common.lean(run), BLOCK_SCHEMA)
 
 
+def _turns(parts: int) -> list[range]:
+    """The parts that are served at a time. More turns take less disk, but each makes the keys of all tokens anew and ends
+    with idle cores, so that turns in proportion to the input would make work that grows with its square."""
+    turns = max(1, min(TURNS, parts // SERVED))
+    return [range(parts * k // turns, parts * (k + 1) // turns) for k in range(turns)]
+
+
 def _requests(kept: DataFrame, parts: int, served: range, counted: bool) -> DataFrame:
     """The blocks' requests to the parts that are served, with training counts if counted."""
 
@@ -634,8 +642,7 @@ def score(docs: DataFrame, burn_in: int = 2, samples: int = 3, id_col: str = "do
     named = docs.select(F.col(id_col).cast("string").alias("doc_id"), (F.crc32(name) % 5 == 1).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     parts = max(8, int(chars // PART_CHARS) + 1)
-    turns = max(1, parts // SERVED)
-    served = [range(parts * k // turns, parts * (k + 1) // turns) for k in range(turns)]
+    served = _turns(parts)
     kept = common.stored(blocks(named), "lm-blocks")  # numbers rows once and for all
     n_blocks = kept.count()
     states = [_opened(_requests(kept, parts, s, counted=True), n_blocks, parts) for s in served]

@@ -479,6 +479,12 @@ def test_lm_blocks_do_not_grow_with_the_parts(spark, monkeypatch):
     assert sizes[1] < 1.02 * sizes[0]
 
 
+def test_lm_parts_are_served_in_as_many_turns_however_large_the_corpus_is():
+    for parts, turns in ((8, 1), (32, 2), (64, 4), (376, 4), (1876, 4)):
+        served = lm_score._turns(parts)
+        assert len(served) == turns and [p for s in served for p in s] == list(range(parts))
+
+
 def test_lm_scores_are_the_same_however_many_parts_are_served_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK", 20_000)
     monkeypatch.setattr(lm_score, "FAN", 2)
