@@ -1,8 +1,10 @@
 """Protocol runners: fold tables, a learner per fold in its own task, scores with exclusions and their reasons.
 
-A feature table is (row, x array<double>, columns that group or label). Every fold is one group of the plan: its task
-holds the rows that train and test it, so the table must fit a task's memory; `most_rows` raises beyond that and
-drops nothing. Rows are dealt to folds through an array of (fold, role), not through a join.
+A feature table is (row, x array<double>, columns that group or label). Every fold of a table of up to IN_TASK numbers is
+one group of the plan, whose task holds the rows that train and test it. Boosted trees of a larger table are grown for all
+folds at once by tasks that hold a batch of rows each (spread.py). Other learners hold a fold in a task; for these,
+`most_rows` raises beyond what a task may hold and drops nothing. Rows are dealt to folds through an array of (fold, role),
+not through a join.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boosting import BoostedClassifier, standardised
-from . import metrics, splits
+from . import metrics, splits, spread
 
 MOST_ROWS = 2_000_000
+#: Values of x in a table whose folds are learnt in a task each; a task takes up to about 120 bytes for each.
+IN_TASK = 2_000_000
 
 
 def boosted(rounds: int = 200, rate: float = 0.06, depth: int = 4, least: int = 20) -> Callable:
@@ -27,6 +31,7 @@ def boosted(rounds: int = 200, rate: float = 0.06, depth: int = 4, least: int =
         x, tests = standardised(x, tests)
         return BoostedClassifier(rounds, rate, depth, least=least).fit(x, y).predict(tests)
 
+    run.spread = lambda rows, n, width: spread.predictions(rows, n, width, rounds, rate, depth, least)
     return run
 
 
@@ -69,7 +74,12 @@ def predictions(rows: DataFrame, label: str, learner: Callable, most_rows: int =
         pred = learner(np.stack(train["x"]).astype(float), train["truth"].to_numpy(), np.stack(test["x"]).astype(float))
         return pd.DataFrame({"fold": key[0], "row": test["row"].to_numpy(), "truth": test["truth"].to_numpy(object), "pred": pred})
 
-    dealt = rows.select("row", F.col("x").cast("array<double>").alias("x"), F.col(label).cast("string").alias("truth"), F.explode("roles").alias("r")).select("r.fold", "r.role", "row", "x", "truth")
+    plain = rows.select("row", F.col("x").cast("array<double>").alias("x"), F.col(label).cast("string").alias("truth"), "roles")
+    if hasattr(learner, "spread"):
+        size = plain.where(F.size("roles") > 0).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+        if size["n"] * (size["width"] or 0) > IN_TASK:
+            return learner.spread(plain.where(F.size("roles") > 0), size["n"], size["width"])
+    dealt = plain.select("row", "x", "truth", F.explode("roles").alias("r")).select("r.fold", "r.role", "row", "x", "truth")
     return dealt.groupBy("fold").applyInPandas(run, "fold long, row long, truth string, pred string")
 
 
@@ -82,12 +92,13 @@ def _scored(found: DataFrame, labels: list[str], by: list[str]) -> DataFrame:
     return whole.join(base, by) if by else whole.join(F.broadcast(base))
 
 
-def grouped(rows: DataFrame, group: str, label: str, labels: list[str], learner: Callable, excluded: list | None = None) -> tuple[DataFrame, DataFrame]:
+def grouped(rows: DataFrame, group: str, label: str, labels: list[str], learner: Callable, excluded: list | None = None, made: tuple[list, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Leave-one-group-out: scores per fold, with those left out of scoring and why, and scores of all test rows pooled.
 
-    Excluded groups still train. A fold that tests one class alone is not scored.
+    Excluded groups still train. A fold that tests one class alone is not scored. made: the groups that are held out, and
+    predictions() of all rows by group_roles() of these, where the caller has them.
     """
-    held = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]  # one value a group
+    held = made[0] if made else [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]  # one value a group
     kept = ~F.col(group).isin(excluded) if excluded else F.lit(True)
     seen = rows.groupBy(F.col(group).alias("held_out")).agg(F.count(F.lit(1)).alias("n_test"), F.array_sort(F.collect_set(F.col(label).cast("string"))).alias("classes"))
     fold = F.array_position(F.array(*[F.lit(h) for h in held]), F.col("held_out")) - 1
@@ -95,8 +106,12 @@ def grouped(rows: DataFrame, group: str, label: str, labels: list[str], learner:
     reason = F.when(out, "group excluded from scoring").when(F.size("classes") < 2, F.concat(F.lit("test set has one class only: "), F.array_join("classes", ", ")))
     plan = seen.select(fold.alias("fold"), "held_out", "n_test", reason.alias("reason"))
     single = [r["held_out"] for r in plan.where("reason IS NOT NULL").select("held_out").collect()]
-    tested = kept & ~F.col(group).isin(single) if single else kept
-    found = predictions(rows.withColumn("roles", group_roles(group, held, tested)), label, learner)
+    if made:
+        left = [k for k, h in enumerate(held) if h in {*single, *(excluded or [])}]
+        found = made[1].where(~F.col("fold").isin(left)) if left else made[1]
+    else:
+        tested = kept & ~F.col(group).isin(single) if single else kept
+        found = predictions(rows.withColumn("roles", group_roles(group, held, tested)), label, learner)
     folds = plan.join(_scored(found, labels, ["fold"]).drop("n"), "fold", "left")
     return folds, _scored(found, labels, [])
 

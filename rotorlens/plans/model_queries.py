@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import assembly, kernels, network
-from ..operators import electrical, frames, fusion, metrics, protocols, quant, reports, rules, splits
+from ..operators import electrical, frames, fusion, metrics, protocols, quant, reports, rules, splits, spread
 from ..sources import views
 from . import decision_queries, signal_queries
 from .registering import registrar, rounded
@@ -321,15 +321,16 @@ def metric_lines(spark, d):
 def holdout_report(spark, d):
     """The Markdown report of the grouped protocol, line by line."""
     rows = _rows(spark, d)
-    folds, pooled = protocols.grouped(rows, "grp", "label", LABELS, LEARNER)
     held = list(range(7))
-    found = protocols.predictions(rows.withColumn("roles", protocols.group_roles("grp", held)), "label", LEARNER)
+    # Folds are learnt once for all parts of the report.
+    found = spread.stored(protocols.predictions(rows.withColumn("roles", protocols.group_roles("grp", held)), "label", LEARNER), "report-predictions")
+    folds, pooled = protocols.grouped(rows, "grp", "label", LABELS, LEARNER, made=(held, found))
     place = lambda c: (F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col(c)) - 1).cast("int")
-    coded = found.select(place("truth").alias("truth"), place("pred").alias("pred"), (F.col("row") % 50).alias("rec"))
+    coded = found.select(place("truth").alias("truth"), place("pred").alias("pred"), (F.col("row") % 50).alias("rec"), "row")
     votes = metrics.hard_vote(coded).join(coded.groupBy("rec").agg(F.mode("truth", True).alias("truth")), "rec")
     whole = pooled.join(F.broadcast(votes.agg(F.count(F.lit(1)).alias("recordings"), F.avg((F.col("vote") == F.col("truth")).cast("double")).alias("recording_acc"))))
     units = folds.select(F.col("held_out").alias("unit"), F.col("n_test").alias("n"), "accuracy", "reason")
-    probs = coded.select(F.col("rec").alias("unit"), F.monotonically_increasing_id().alias("rec"), "truth", F.array(*[(F.col("pred") == k).cast("double") for k in range(3)]).alias("p"))
+    probs = coded.select(F.col("rec").alias("unit"), F.col("row").alias("rec"), "truth", F.array(*[(F.col("pred") == k).cast("double") for k in range(3)]).alias("p"))
     curve = metrics.aggregation_curve(probs.withColumn("truth", F.first("truth").over(Window.partitionBy("unit").orderBy("truth"))), [1, 2, 5], 5, 3)
     return reports.figures(whole, units, curve, metrics.confusion(coded, [0, 1, 2]), LABELS, "Results by held-out group")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotorlens.functions import assembly, boosting, kernels, network
-from rotorlens.operators import electrical, fusion, protocols, reports, rules, splits
+from rotorlens.operators import electrical, fusion, protocols, reports, rules, splits, spread
 from rotorlens.plans import catalogue
 from rotorlens.sources import files
 from rotorlens.streaming import fusion_stream
@@ -185,6 +185,49 @@ def test_shuffled_and_block_roles(spark):
         protocols.predictions(rows.withColumn("roles", protocols.group_roles("grp", [0])), "label", LEARNER, most_rows=10).collect()
 
 
+class _Whole(boosting.Tree):
+    """A tree whose sums are of whole numbers, so that equal gains are equal."""
+
+    def __init__(self, places, cuts, g, h, *limits):
+        super().__init__(places, cuts, np.rint(g * 2.0**spread.BITS) / 2.0**spread.BITS, np.rint(h * 2.0**spread.BITS) / 2.0**spread.BITS, *limits)
+
+
+def test_trees_of_all_folds_at_once_equal_those_of_a_task_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(protocols, "IN_TASK", 1000)
+    monkeypatch.setattr(spread, "VALUES", 400)
+    monkeypatch.setattr(spread, "BATCH", 50)
+    monkeypatch.setattr(boosting, "Tree", _Whole)
+    rng, n = np.random.default_rng(11), 400
+    x = np.stack([rng.normal(size=n), rng.integers(-1, 3, n).astype(float), np.full(n, 2.5), rng.normal(size=n) * 1e-200, rng.normal(size=n), np.full(n, np.nan)], axis=1)
+    x[::9, 0] = -0.0
+    x[7, 4] = np.inf  # folds that this row trains have no use for the column
+    grp, label = np.arange(n) % 3, np.array(["a", "b", "c"])[(x[:, 0] > 0.2).astype(int) + (x[:, 1] > 1)]
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(grp[i]), str(label[i])) for i in range(n)], "row long, x array<double>, grp long, label string")
+    found = protocols.predictions(rows.repartition(5).withColumn("roles", protocols.group_roles("grp", [0, 1, 2, 9])), "label", protocols.boosted(rounds=3, rate=0.3, depth=2, least=5)).collect()
+    want = set()
+    for k in range(3):
+        train = grp != k
+        own = [j for j in range(6) if np.isfinite(x[train, j]).all()]
+        pred = boosting.BoostedClassifier(3, 0.3, 2, least=5).fit(x[train][:, own], label[train].astype(object)).predict(x[~train][:, own])
+        want |= {(k, int(i), label[i], p) for i, p in zip(np.flatnonzero(~train), pred)}
+    assert len(found) == n and {tuple(r) for r in found} == want
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate((rng.normal(size=3000), np.repeat(rng.normal(size=20), 50), [-1e300, 1e300, 0.0, -0.0]))
+    assert (spread.values_of(spread.keys_of(x)) == x).all() and (np.diff(spread.keys_of(np.sort(x))) >= 0).all()
+    base = spark.createDataFrame([([float(v)], "ab"[i % 2]) for i, v in enumerate(x)], "x array<double>, sig string")
+    ranks = np.arange(0, len(x) // 2, 31)
+    for most in (0, 10**6):
+        spread.VALUES, before = most, spread.VALUES
+        try:
+            found = spread.order_statistics(base, {"a": 0, "b": 1}, 1, [[(np.array([0]), ranks), (np.array([0, 1]), ranks * 2)]])[0]
+        finally:
+            spread.VALUES = before
+        assert (found[0] == np.sort(x[::2])[ranks]).all() and (found[1] == np.sort(x)[ranks * 2]).all()
+
+
 def test_folds_are_kept_and_checked(spark, tmp_path):
     groups = spark.createDataFrame([(g,) for g in range(4)], "grp long")
     folds = splits.leave_one_group_out(groups)
